@@ -1,0 +1,233 @@
+"""Arrow scorers for what has no built-in expression: best-window similarity.
+
+Small numpy helpers, called on the distinct texts of an Arrow batch.  Every text is compared
+with a list of reference names whose size the caller has checked; only hits leave the task, so
+no table of pairs ever exists.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_BITS = 64
+_CELLS = 2_000_000  # window states held at once
+
+Pair = tuple[str, str]
+
+
+def _lcs_long(pattern: str, text: str) -> int:
+    """Python integers have no word limit; used for patterns beyond 64 characters."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(pattern):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    full = (1 << len(pattern)) - 1
+    state = full
+    for ch in text:
+        hit = state & masks.get(ch, 0)
+        state = ((state + hit) | (state - hit)) & full
+    return len(pattern) - state.bit_count()
+
+
+class _Texts:
+    """Distinct strings as padded matrices of small character codes; code 0 is padding."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = strings
+        self.lengths = np.array([len(s) for s in strings], dtype=np.int64)
+        raw = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
+        alphabet, codes = np.unique(raw, return_inverse=True)
+        self.alphabet = len(alphabet) + 1
+        self.codes = (codes + 1).astype(np.int32)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+
+    def matrix(self, ids: np.ndarray, lead: int = 0) -> np.ndarray:
+        width = int(self.lengths[ids].max())
+        at = np.arange(-lead, width + lead)
+        inside = (at >= 0) & (at[None, :] < self.lengths[ids][:, None])
+        where = np.where(inside, self.offsets[ids][:, None] + at[None, :], 0)
+        return np.where(inside, self.codes[where], 0)
+
+    def masks(self, ids: np.ndarray) -> np.ndarray:
+        letters = self.matrix(ids)
+        masks = np.zeros((len(ids), self.alphabet), dtype=np.uint64)
+        rows = np.arange(len(ids))
+        for i in range(letters.shape[1]):
+            masks[rows, letters[:, i]] |= np.uint64(1 << i)
+        masks[:, 0] = 0
+        return masks
+
+
+def _index(pairs: list[Pair]) -> tuple[_Texts, np.ndarray, np.ndarray]:
+    slots: dict[str, int] = {}
+    left = np.array([slots.setdefault(a, len(slots)) for a, _ in pairs], dtype=np.int64)
+    right = np.array([slots.setdefault(b, len(slots)) for _, b in pairs], dtype=np.int64)
+    return _Texts(list(slots)), left, right
+
+
+def _ordered(texts: _Texts, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    swap = texts.lengths[a] > texts.lengths[b]
+    return np.where(swap, b, a), np.where(swap, a, b)
+
+
+def _blocks(texts: _Texts, p: np.ndarray, t: np.ndarray, picked: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of equal pattern length and similar text length, in blocks of bounded size."""
+    m, n = texts.lengths[p], texts.lengths[t]
+    picked = picked[np.lexsort((n[picked], m[picked]))]
+    start = 0
+    while start < len(picked):
+        first = picked[start]
+        room = max(1, _CELLS // int(2 * m[first] + 2 * n[first] + 16))
+        block = picked[start : start + room]
+        same = (m[block] == m[first]) & (n[block] <= 2 * n[first] + 16)
+        stop = len(block) if same.all() else int(np.argmin(same))
+        yield block[:stop]
+        start += stop
+
+
+def _fold(texts: _Texts, p: np.ndarray, t: np.ndarray, windows: bool) -> np.ndarray:
+    """LCS of each pattern (all of one length) with its text, per window or as a whole."""
+    patterns, own = np.unique(p, return_inverse=True)
+    longer, other = np.unique(t, return_inverse=True)
+    m = int(texts.lengths[p[0]])
+    lead = m - 1 if windows else 0
+    masks = texts.masks(patterns)
+    letters = texts.matrix(longer, lead)
+    starts = letters.shape[1] - m + 1 if windows else 1
+    full = np.uint64((1 << m) - 1)
+    state = np.full((len(p), starts), full, dtype=np.uint64)
+    flat, base = masks.ravel(), (own * texts.alphabet)[:, None]
+    for j in range(m if windows else letters.shape[1]):
+        hit = state & flat[base + letters[other, j : j + starts]]
+        state = ((state + hit) | (state - hit)) & full
+    return m - np.bitwise_count(state).astype(np.int64)
+
+
+def lcs_lengths(pairs: list[Pair]) -> np.ndarray:
+    out = np.zeros(len(pairs), dtype=np.int64)
+    if not pairs:
+        return out
+    texts, a, b = _index(pairs)
+    p, t = _ordered(texts, a, b)
+    m = texts.lengths[p]
+    for block in _blocks(texts, p, t, np.flatnonzero((m > 0) & (m <= _BITS))):
+        out[block] = _fold(texts, p[block], t[block], windows=False)[:, 0]
+    for i in np.flatnonzero(m > _BITS):
+        out[i] = _lcs_long(texts.strings[p[i]], texts.strings[t[i]])
+    return out
+
+
+def _best_window_long(pattern: str, text: str) -> float:
+    m, best = len(pattern), 0.0
+    for begin in range(1 - m, len(text)):
+        piece = text[max(begin, 0) : begin + m]
+        total = m + len(piece)
+        best = max(best, (1 - (total - 2 * _lcs_long(pattern, piece)) / total) * 100.0)
+    return best
+
+
+def _best_windows(texts: _Texts, p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Best similarity of the pattern with the windows of the (not shorter) text."""
+    m, n = texts.lengths[p], texts.lengths[t]
+    out = np.where(n == 0, 100.0, 0.0)
+    for block in _blocks(texts, p, t, np.flatnonzero((m > 0) & (m <= _BITS))):
+        common = _fold(texts, p[block], t[block], windows=True)
+        size = int(m[block[0]])
+        begin = np.arange(common.shape[1])[None, :] - (size - 1)
+        ends = np.minimum(begin + size, n[block][:, None])
+        length = np.maximum(ends - np.maximum(begin, 0), 0)
+        total = size + length
+        score = (1.0 - (total - 2 * common) / total) * 100.0
+        out[block] = np.where(length > 0, score, 0.0).max(axis=1)
+    for i in np.flatnonzero(m > _BITS):
+        out[i] = _best_window_long(texts.strings[p[i]], texts.strings[t[i]])
+    return out
+
+
+def partial_scores(pairs: list[Pair]) -> np.ndarray:
+    if not pairs:
+        return np.zeros(0)
+    texts, a, b = _index(pairs)
+    p, t = _ordered(texts, a, b)
+    out = _best_windows(texts, p, t)
+    same = np.flatnonzero((texts.lengths[p] == texts.lengths[t]) & (out < 100.0))
+    if len(same):
+        out[same] = np.maximum(out[same], _best_windows(texts, t[same], p[same]))
+    return out
+
+
+def _ratios(pairs: list[Pair]) -> np.ndarray:
+    total = np.array([len(a) + len(b) for a, b in pairs], dtype=np.float64)
+    safe = np.where(total == 0, 1.0, total)
+    return np.where(total == 0, 100.0, (1.0 - (total - 2 * lcs_lengths(pairs)) / safe) * 100.0)
+
+
+def token_sort_scores(pairs: list[Pair]) -> np.ndarray:
+    return _ratios([(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) for a, b in pairs])
+
+
+def token_set_scores(pairs: list[Pair]) -> np.ndarray:
+    out = np.zeros(len(pairs))
+    known: dict[str, tuple[frozenset[str], str]] = {}
+    for pair in pairs:
+        for s in pair:
+            if s not in known:
+                words = frozenset(s.split())
+                known[s] = (words, " ".join(sorted(words)))
+    open_pairs, rests, shared = [], [], []
+    for i, (a, b) in enumerate(pairs):
+        (left, whole_left), (right, whole_right) = known[a], known[b]
+        if not left or not right:
+            continue
+        if left.isdisjoint(right):
+            rests.append((whole_left, whole_right))
+            shared.append(0)
+        else:
+            both = left & right
+            if len(both) == len(left) or len(both) == len(right):
+                out[i] = 100.0
+                continue
+            rests.append((" ".join(sorted(left - both)), " ".join(sorted(right - both))))
+            shared.append(sum(map(len, both)) + len(both) - 1)
+        open_pairs.append(i)
+    if open_pairs:
+        s = np.array(shared, dtype=np.float64)
+        x = np.array([len(a) for a, _ in rests], dtype=np.float64)
+        y = np.array([len(b) for _, b in rests], dtype=np.float64)
+        gap = (s > 0).astype(np.float64)
+        sx, sy = s + gap + x, s + gap + y
+        distance = x + y - 2 * lcs_lengths(rests)
+        best = 100.0 - 100.0 * distance / (sx + sy)
+        with_left = 100.0 - 100.0 * (gap + x) / (s + sx)
+        with_right = 100.0 - 100.0 * (gap + y) / (s + sy)
+        out[open_pairs] = np.where(
+            s > 0, np.maximum(best, np.maximum(with_left, with_right)), best
+        )
+    return out
+
+
+SCORERS: dict[str, Callable[[list[Pair]], np.ndarray]] = {
+    "indel": _ratios,
+    "token_sort": token_sort_scores,
+    "token_set": token_set_scores,
+    "partial": partial_scores,
+}
+
+
+def arrow_scorer(name: str) -> Callable[[Column, Column], Column]:
+    """A scorer over two string columns as a vectorised UDF."""
+    score = SCORERS[name]
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = list(zip(a.fillna(""), b.fillna("")))
+        distinct = list(dict.fromkeys(pairs))
+        known = dict(zip(distinct, score(distinct)))
+        return pd.Series([float(known[p]) for p in pairs], dtype="float64")
+
+    return scored
