@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offermatch import rules as R
-from offermatch.functions.text import text_or_empty, unicode_regex
+from offermatch.functions.text import let, text_or_empty, unicode_regex
 
 
 def as_double(col: Column) -> Column:
@@ -53,34 +53,55 @@ def _first_in_range(amounts: Column, deal_price: Column) -> Column:
     return F.get(usable, F.lit(0))
 
 
-def recover_price(title: Column, description: Column, deal_price: Column) -> Column:
-    """struct(price, source): a quoted price near the deal price, ``15k`` forms first."""
+def quoted_amounts(title: Column, description: Column) -> Column:
+    """struct(short, marked): every ``15k``-style and every currency-marked amount in the text."""
     text = F.concat(text_or_empty(title), F.lit(" \n "), text_or_empty(description))
-    short = _first_in_range(_amounts(text, R.K_PRICE, 1000.0), deal_price)
-    marked = _first_in_range(_amounts(text, R.CURRENCY_PRICE, 1.0), deal_price)
-    source = (
-        F.when(short.isNotNull(), "k_notation")
-        .when(marked.isNotNull(), "currency_notation")
-        .otherwise("none")
+    return let(text, lambda t: F.struct(
+        _amounts(t, R.K_PRICE, 1000.0).alias("short"),
+        _amounts(t, R.CURRENCY_PRICE, 1.0).alias("marked"),
+    ))
+
+
+def recover_from(amounts: Column, deal_price: Column) -> Column:
+    """struct(price, source): the first amount near the deal price, ``15k`` forms first."""
+    picked = F.struct(
+        _first_in_range(amounts["short"], deal_price).alias("short"),
+        _first_in_range(amounts["marked"], deal_price).alias("marked"),
     )
-    return F.struct(F.coalesce(short, marked).alias("price"), source.alias("source"))
+    return let(picked, lambda p: F.struct(
+        F.coalesce(p["short"], p["marked"]).alias("price"),
+        F.when(p["short"].isNotNull(), "k_notation")
+        .when(p["marked"].isNotNull(), "currency_notation").otherwise("none").alias("source"),
+    ))
 
 
-def triage_price(price: Column, title: Column, description: Column, deal_price: Column) -> Column:
-    """struct(price, flag): trust the price, recover it from text, or flag it."""
+def recover_price(title: Column, description: Column, deal_price: Column) -> Column:
+    return recover_from(quoted_amounts(title, description), deal_price)
+
+
+def needs_recovery(price: Column, deal_price: Column) -> Column:
+    return price.isNull() | (price < F.greatest(deal_price * R.LOW_PRICE_RATIO, F.lit(0.0))) | (
+        price <= 0
+    )
+
+
+def triage_amounts(price: Column, amounts: Column, deal_price: Column) -> Column:
+    """struct(price, flag): trust the price, take one quoted in the text, or flag it."""
     missing = price.isNull() | (price <= 0)
     low = price.isNotNull() & (price > 0) & (price < deal_price * R.LOW_PRICE_RATIO)
-    quoted = recover_price(title, description, deal_price)["price"]
-    recovered = F.when(missing | low, quoted)
-    usable = recovered.between(deal_price * R.LOW_PRICE_RATIO, deal_price)
-    flag = (
-        F.when(usable, "text_recovered")
-        .when(missing, "placeholder_zero")
-        .when(low, "suspiciously_low")
-        .otherwise("normal")
-    )
-    effective = F.when(usable, recovered).when(missing, F.lit(0.0)).otherwise(price)
-    return F.struct(effective.alias("price"), flag.alias("flag"))
+    recovered = F.when(missing | low, recover_from(amounts, deal_price)["price"])
+    return let(recovered, lambda r: F.when(
+        r.between(deal_price * R.LOW_PRICE_RATIO, deal_price),
+        F.struct(r.alias("price"), F.lit("text_recovered").alias("flag")),
+    ).otherwise(F.struct(
+        F.when(missing, F.lit(0.0)).otherwise(price).alias("price"),
+        F.when(missing, "placeholder_zero").when(low, "suspiciously_low").otherwise("normal")
+        .alias("flag"),
+    )))
+
+
+def triage_price(price: Column, title: Column, description: Column, deal_price: Column) -> Column:
+    return triage_amounts(price, quoted_amounts(title, description), deal_price)
 
 
 def is_finite(col: Column) -> Column:

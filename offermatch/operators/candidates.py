@@ -15,10 +15,12 @@ from offermatch.functions.fuzzy import partial_scores, token_set_scores
 from offermatch.functions.predicates import (
     hardware_accessory, has_bundle_cues, packaging_only,
 )
-from offermatch.functions.prices import below_ceiling, price_eligible, triage_price
+from offermatch.functions.prices import (
+    below_ceiling, needs_recovery, price_eligible, quoted_amounts, triage_amounts,
+)
 from offermatch.functions.text import expand_aliases, text_or_empty, tokens
 from offermatch.operators.variants import distinct_items
-from offermatch.session import BOUNDED_ROWS, settled, small_side
+from offermatch.session import BOUNDED_ROWS, settled
 
 # Texts whose hits one Python worker remembers; repeated titles are scored once per worker.
 REMEMBERED_TEXTS = 20_000
@@ -58,7 +60,7 @@ def eligible_pairs(listings: DataFrame, cat: DataFrame, keep: list[str]) -> Data
     wanted = F.coalesce("eligible_target_names", F.array(*[F.lit(n) for n in names]))
     return (
         listings.select(*keep, F.explode(F.array_distinct(wanted)).alias("item_name"))
-        .join(small_side(cat), "item_name")
+        .join(cat, "item_name")
     )
 
 
@@ -127,11 +129,15 @@ def _target_blocks(cat: DataFrame) -> Iterator[list[tuple[int, str, bool, str]]]
     fields = cat.select(
         "ord", recall_text(F.col("item_name")).alias("text"), "allow_bundle_check", "item_name"
     )
+    first = fields.limit(BOUNDED_ROWS + 1).collect()
+    if len(first) <= BOUNDED_ROWS:
+        yield [tuple(r) for r in first]
+        return
     low, high = fields.agg(F.min("ord"), F.max("ord")).first()
-    for start in range(low or 0, (high or -1) + 1, BOUNDED_ROWS):
+    for start in range(low, high + 1, BOUNDED_ROWS):
         block = fields.filter(F.col("ord").between(start, start + BOUNDED_ROWS - 1)).collect()
         if block:
-            yield [tuple(r) for r in sorted(block)]
+            yield [tuple(r) for r in block]
 
 
 def recall_hits(texts: DataFrame, cat: DataFrame, text: str, scope: str) -> DataFrame:
@@ -174,6 +180,12 @@ def find_candidates(listings: DataFrame, cat: DataFrame, keep: list[str]) -> Dat
             "_cues": has_bundle_cues(title, description),
         })
         .filter(~(F.col("_accessory") & F.col("_packaging")))
+        # Amounts in the text do not depend on the target: read them once per listing, and
+        # never from the description of a post that lists several items.
+        .withColumn("_amounts", F.when(
+            needs_recovery(F.col("price"), F.lit(top_price)),
+            quoted_amounts(title, F.when(F.col("_cues"), F.lit("")).otherwise(description)),
+        ))
     )
     # A listing with bundle cues is read with its description by bundle targets only.
     scopes = F.when(
@@ -191,8 +203,9 @@ def find_candidates(listings: DataFrame, cat: DataFrame, keep: list[str]) -> Dat
         F.col("_read.scope").alias("_scope"),
     )
     targets = cat.select("ord", "item_name", "target_type", "deal_price")
+    texts = texts.drop("title", "description") if not {"title", "description"} & set(keep) else texts
     hits = recall_hits(texts, cat, "_text", "_scope").drop("_text")
-    pairs = hits.join(small_side(targets), "ord")
+    pairs = hits.join(targets, "ord")
     pairs = pairs.filter(
         F.when(F.col("target_type") == "Game", ~F.col("_packaging")).otherwise(~F.col("_accessory"))
         & below_ceiling(F.col("price"), F.col("deal_price"))
@@ -203,14 +216,15 @@ def find_candidates(listings: DataFrame, cat: DataFrame, keep: list[str]) -> Dat
             | F.array_contains("eligible_target_names", F.col("item_name"))
         )
     bundle = F.col("_scope") == "bundle"
-    shown = F.when(F.col("_cues"), F.lit("")).otherwise(F.col("description"))
     triaged = F.when(
         bundle,
         F.struct(
             F.coalesce("price", F.lit(0.0)).cast("double").alias("price"),
             F.lit("bundle_candidate").alias("flag"),
         ),
-    ).otherwise(triage_price(F.col("price").cast("double"), F.col("title"), shown, F.col("deal_price")))
+    ).otherwise(
+        triage_amounts(F.col("price").cast("double"), F.col("_amounts"), F.col("deal_price"))
+    )
     # The one-element explode computes the triage once for the filter and the output.
     usable = F.filter(F.array(triaged), lambda t: (t["flag"] == "bundle_candidate") | price_eligible(
         t["price"], F.col("deal_price"), t["flag"]

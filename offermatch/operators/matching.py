@@ -17,7 +17,7 @@ from offermatch.functions.text import (
 from offermatch.operators.variants import (
     distinct_items, group_families, variant_compatible, variant_profile,
 )
-from offermatch.session import settled, small_side
+from offermatch.session import settled
 
 # Targets that may sit in the plan as one constant; a larger catalog is joined instead.
 INLINE_TARGETS = 1_000
@@ -167,7 +167,7 @@ def local_deals(listings: DataFrame, cat: DataFrame, families: DataFrame | None
     final = override_condition(F.col("condition"), F.col("description"), F.col("downsizing_keywords"))
     no_freebies = F.array().cast("array<string>")
     return (
-        matched.join(small_side(targets), "matched_item")
+        matched.join(targets, "matched_item")
         .filter(F.col("price") <= F.col("deal_price"))
         .withColumn("_final", final)
         .select(
@@ -213,7 +213,7 @@ def accept_local_deals(deals: DataFrame, candidates: DataFrame, cat: DataFrame,
                                                    "local_match_score", "audit_source")]
     return (
         deals.join(backed, ["listing_id", "matched_item"])
-        .join(small_side(profile), "matched_item")
+        .join(profile, "matched_item")
         .filter(accept_local(score, F.col("price"), F.col("deal_price"), fits))
         .select(
             *plain, F.col("_flag").alias("price_flag"), F.lit(R.LOCAL_SOURCE).alias("audit_source"),

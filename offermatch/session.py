@@ -47,10 +47,13 @@ def small_side(df: DataFrame, rows: int = BOUNDED_ROWS) -> DataFrame:
 
 
 def settled(df: DataFrame, rows: int = BOUNDED_ROWS) -> DataFrame:
-    """A small reference table read once and kept in one partition, so that deriving from it
-    needs no exchange; a larger table is returned unchanged."""
-    found = df.limit(rows + 1).collect()
-    if len(found) > rows:
+    """A small reference table read once into the plan; a larger table comes back unchanged.
+
+    Spark then knows its exact size: it broadcasts it on its own and derives from it without
+    exchanges.  Nothing here forces a broadcast of a table that has grown.
+    """
+    found = df.limit(rows + 1).toArrow()
+    if found.num_rows > rows:
         return df
     return df.sparkSession.createDataFrame(found, df.schema).coalesce(1)
 
