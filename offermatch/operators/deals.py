@@ -31,7 +31,7 @@ def _evidence_lines(description: Column, evidence: Column) -> Column:
         F.lit(r"\E(?![\p{L}\p{N}_.,])"),
     )
     lines = F.transform(F.split(clean_for_audit(description), "\n"), clean_string)
-    return F.filter(lines, lambda line: line.rlike(quoted))
+    return F.filter(lines, lambda line: F.rlike(line, quoted))
 
 
 def _asking_prices(evidence: Column, target_words: Column) -> Column:
