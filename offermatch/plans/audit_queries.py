@@ -12,6 +12,7 @@ from offermatch.plans import cascade as P
 from offermatch.plans.match_queries import DEALS
 from offermatch.plans.registry import CATALOG, LISTINGS, query
 from offermatch.plans.text_queries import override_sql
+from offermatch.session import cut_lineage
 from offermatch.sources import bridge
 from offermatch.sources.bridge import LISTING_ORDER, table
 
@@ -39,7 +40,10 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     firsts = A.dedup_candidates(pairs(spark, sf), LISTING_ORDER)
-    return A.chunk_candidates(firsts, LISTING_ORDER, bucket=F.floor(F.col("l_orderkey") / 4096))
+    # The request table stands between the two jobs of a real run, so it is materialised here too.
+    return cut_lineage(
+        A.chunk_candidates(firsts, LISTING_ORDER, bucket=F.floor(F.col("l_orderkey") / 4096))
+    )
 
 
 # Item kinds by position: 0 good, 1-4 and 10-11 invalid, 5 unknown id, 6 invalid then good,
@@ -163,7 +167,7 @@ valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id OR
 
 def exploded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = chunks(spark, sf)
-    return A.explode_audits(responses(rows)), rows
+    return cut_lineage(A.explode_audits(responses(rows))), rows
 
 
 @query("explode_audits", f"""WITH {CANDS}, {EXPLODED}

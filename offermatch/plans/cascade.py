@@ -41,9 +41,10 @@ def response_auditor(responses: DataFrame, size: int = R.AUDIT_CHUNK,
     """An auditor over a table of recorded responses, one per chunk of candidates."""
     def audit(candidates: DataFrame, cat: DataFrame) -> AuditTables:
         single = A.dedup_candidates(candidates, ["seq"]).drop("seq")
-        chunks = A.chunk_candidates(single, ["cand_ord", "ord"], size, bucket)
+        # Requests and parsed judgements are each read by several branches.
+        chunks = cut_lineage(A.chunk_candidates(single, ["cand_ord", "ord"], size, bucket))
         allowed = A.allowed_targets(candidates, cat, ["seq"], whitelist)
-        parts = A.reconcile_audits(A.explode_audits(responses), chunks)
+        parts = A.reconcile_audits(cut_lineage(A.explode_audits(responses)), chunks)
         gate = A.whitelist_gate(parts["valid"], allowed)
         summary = A.chunk_summary(chunks, responses)
         failed = summary.filter(~F.col("succeeded"))
