@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -19,7 +20,7 @@ from offermatch.functions.prices import (
     below_ceiling, needs_recovery, price_eligible, quoted_amounts, triage_amounts,
 )
 from offermatch.functions.text import expand_aliases, text_or_empty, tokens
-from offermatch.operators.variants import distinct_items
+from offermatch.operators.variants import distinct_items, name_blocks, ord_blocks
 from offermatch.session import BOUNDED_ROWS, settled
 
 # Texts whose hits one Python worker remembers; repeated titles are scored once per worker.
@@ -52,16 +53,20 @@ def recall_text(col: Column) -> Column:
 def eligible_pairs(listings: DataFrame, cat: DataFrame, keep: list[str]) -> DataFrame:
     """Listing x target, limited to ``eligible_target_names``; null means every target.
 
-    The names are exploded and equi-joined, for "every target" as well: the list of all names
-    comes from a counted catalog.
+    Names are exploded and equi-joined.  "Every target" explodes the catalog's names, which
+    enter the plan in bounded blocks.
     """
     cat = settled(distinct_items(cat))
-    names = cat.agg(F.sort_array(F.collect_list("item_name")).alias("n")).first()["n"]
-    wanted = F.coalesce("eligible_target_names", F.array(*[F.lit(n) for n in names]))
-    return (
-        listings.select(*keep, F.explode(F.array_distinct(wanted)).alias("item_name"))
-        .join(cat, "item_name")
+    limited = F.col("eligible_target_names").isNotNull()
+    wanted = listings.filter(limited).select(
+        *keep, F.explode(F.array_distinct("eligible_target_names")).alias("item_name")
     )
+    for block in name_blocks(cat):
+        names = F.from_json(F.lit(json.dumps([n for _, n in block])), "array<string>")
+        wanted = wanted.unionByName(
+            listings.filter(~limited).select(*keep, F.explode(names).alias("item_name"))
+        )
+    return wanted.join(cat, "item_name")
 
 
 def _hit_scanner(block: list[tuple[int, str, bool, str]]) -> Callable[[Column, Column], Column]:
@@ -129,15 +134,8 @@ def _target_blocks(cat: DataFrame) -> Iterator[list[tuple[int, str, bool, str]]]
     fields = cat.select(
         "ord", recall_text(F.col("item_name")).alias("text"), "allow_bundle_check", "item_name"
     )
-    first = fields.limit(BOUNDED_ROWS + 1).collect()
-    if len(first) <= BOUNDED_ROWS:
-        yield [tuple(r) for r in first]
-        return
-    low, high = fields.agg(F.min("ord"), F.max("ord")).first()
-    for start in range(low, high + 1, BOUNDED_ROWS):
-        block = fields.filter(F.col("ord").between(start, start + BOUNDED_ROWS - 1)).collect()
-        if block:
-            yield [tuple(r) for r in block]
+    for rows in ord_blocks(fields):
+        yield [tuple(r) for r in rows]
 
 
 def recall_hits(texts: DataFrame, cat: DataFrame, text: str, scope: str) -> DataFrame:

@@ -35,12 +35,22 @@ def bounded_rows(df: DataFrame, size: int = BOUNDED_ROWS) -> list[Row] | None:
     return rows if len(rows) <= size else None
 
 
-def name_blocks(items: DataFrame, size: int = BOUNDED_ROWS) -> Iterator[list[tuple[int, str]]]:
-    """Item names in blocks that every task may hold, by position range."""
-    low, high = items.agg(F.min("ord"), F.max("ord")).first()
+def ord_blocks(df: DataFrame, size: int = BOUNDED_ROWS) -> Iterator[list[Row]]:
+    """The rows of a reference table in blocks that every task may hold, by position range."""
+    rows = bounded_rows(df, size)
+    if rows is not None:
+        yield rows
+        return
+    low, high = df.agg(F.min("ord"), F.max("ord")).first()
     for start in range(low, high + 1, size):
-        block = items.filter(F.col("ord").between(start, start + size - 1))
-        yield [(r.ord, r.item_name) for r in block.collect()]
+        rows = df.filter(F.col("ord").between(start, start + size - 1)).collect()
+        if rows:
+            yield rows
+
+
+def name_blocks(items: DataFrame, size: int = BOUNDED_ROWS) -> Iterator[list[tuple[int, str]]]:
+    for rows in ord_blocks(items.select("ord", "item_name"), size):
+        yield [(r.ord, r.item_name) for r in rows]
 
 
 def _later_neighbours(block: list[tuple[int, str]], threshold: float):

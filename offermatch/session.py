@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Rows of a reference table that may be held by every task.  Names are short, so this is a few
 # megabytes; beyond it operators switch to a shuffled plan or work block by block.
@@ -41,11 +40,6 @@ def within_bound(df: DataFrame, rows: int = BOUNDED_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small_side(df: DataFrame, rows: int = BOUNDED_ROWS) -> DataFrame:
-    """Broadcast hint only for a table that was counted; otherwise leave the choice to Spark."""
-    return F.broadcast(df) if within_bound(df, rows) else df
-
-
 def settled(df: DataFrame, rows: int = BOUNDED_ROWS) -> DataFrame:
     """A small reference table read once into the plan; a larger table comes back unchanged.
 

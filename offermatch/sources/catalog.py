@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offermatch import rules as R
@@ -189,13 +189,15 @@ def _search_mode(col: Column) -> Column:
 def validate_catalog(cat: DataFrame, categories: DataFrame) -> DataFrame:
     """(row_number, item_name, problem): everything that makes a plan unsafe; rows count from 2."""
     named = cat.withColumn("item_name", clean_string(F.col("item_name"))).filter("item_name <> ''")
-    repeat = F.row_number().over(Window.partitionBy(F.lower("item_name")).orderBy("ord")) > 1
+    # First sighting per name by aggregation: a window would sort a hot name in one task.
+    firsts = named.groupBy(F.lower("item_name").alias("_name")).agg(F.min("ord").alias("_first"))
+    seen = named.withColumn("_name", F.lower("item_name")).join(firsts, "_name")
     mode = _search_mode(F.col("search_mode"))
     bundle = parse_bundle_flag(F.col("allow_bundle_check").cast("string"))
-    checked = resolve_category(named.withColumn("_repeat", repeat), "category", categories)
+    checked = resolve_category(seen, "category", categories)
     problems = F.filter(
         F.array(
-            F.when(F.col("_repeat"), "duplicate item name"),
+            F.when(F.col("ord") > F.col("_first"), "duplicate item name"),
             F.when(mode.isNull(), "invalid search mode"),
             F.when((mode == "Category") & F.col("resolved_category").isNull(), "unknown category"),
             F.when(
