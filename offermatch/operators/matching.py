@@ -12,7 +12,7 @@ from offermatch.functions.predicates import hardware_accessory, packaging_only
 from offermatch.functions.prices import accept_local
 from offermatch.functions.similarity import word_set_ratio
 from offermatch.functions.text import (
-    default_process, extract_freebies, override_condition, tokens, words,
+    default_process, extract_freebies, let, override_condition, tokens, words,
 )
 from offermatch.operators.variants import (
     distinct_items, group_families, variant_compatible, variant_profile,
@@ -80,18 +80,22 @@ def _with_accessory_flags(listings: DataFrame) -> DataFrame:
 
 def _inline_match(listings: DataFrame, rows: list, above: float) -> DataFrame:
     """No shuffle and no pairs: candidates come from a constant anchor map, row by row."""
-    by_anchor: dict[str, list[dict]] = {}
-    for row in rows:
-        by_anchor.setdefault(row["anchor"], []).append(row.asDict())
-    anchors = F.from_json(F.lit(json.dumps(by_anchor)), f"map<string,array<{_ENTRY}>>")
-    none = F.array().cast(f"array<{_ENTRY}>")
-    found = F.flatten(F.transform(
-        F.concat(F.col("_tokens"), F.array(F.lit(_ANY))),
-        lambda t: F.coalesce(F.try_element_at(anchors, t), none),
+    rows = sorted(rows, key=lambda r: r["ord"])
+    by_anchor: dict[str, list[int]] = {}
+    for i, row in enumerate(rows):
+        by_anchor.setdefault(row["anchor"], []).append(i)
+    # Constants of the plan; only positions travel with the rows.
+    anchors = F.from_json(F.lit(json.dumps(by_anchor)), "map<string,array<int>>")
+    targets = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), f"array<{_ENTRY}>")
+    found = F.flatten(F.filter(
+        F.transform(
+            F.concat(F.col("_tokens"), F.array(F.lit(_ANY))), lambda t: F.try_element_at(anchors, t)
+        ),
+        lambda hit: hit.isNotNull(),
     ))
-    fitting = F.filter(found, lambda c: variant_compatible(
+    fitting = F.filter(found, lambda i: let(F.get(targets, i), lambda c: variant_compatible(
         F.col("_tokens"), c["required_tokens"], c["own_tokens"], c["sibling_tokens"]
-    ))
+    )))
     # Exploding a one-element array, unlike a filter, is not pushed down and computed twice.
     # Only listings with a compatible target go on to the accessory rules and the score.
     rows_left = _with_accessory_flags(
@@ -99,12 +103,18 @@ def _inline_match(listings: DataFrame, rows: list, above: float) -> DataFrame:
         .withColumn("_fitting", F.explode(F.filter(F.array(fitting), lambda f: F.size(f) > 0)))
         .drop("_tokens")
     ).withColumn("_words", _match_words("title"))
-    allowed = F.filter(F.col("_fitting"), lambda c: _allowed(c["target_type"]))
-    best = F.array_max(F.transform(allowed, lambda c: F.struct(
-        word_set_ratio(F.col("_words"), c["words"]).alias("score"),
-        (-c["ord"]).alias("tie"), c["item_name"].alias("item"),
+    allowed = F.filter(F.col("_fitting"), lambda i: _allowed(F.get(targets, i)["target_type"]))
+    best = F.array_max(F.transform(allowed, lambda i: F.struct(
+        word_set_ratio(F.col("_words"), F.get(targets, i)["words"]).alias("score"),
+        (-i).alias("tie"), i.alias("item"),
     )))
-    kept = F.filter(F.array(best), lambda b: b["score"] > above)
+    kept = F.transform(
+        F.filter(F.array(best), lambda b: b["score"] > above),
+        lambda b: F.struct(
+            b["score"].alias("score"), b["tie"].alias("tie"),
+            F.get(targets, b["item"])["item_name"].alias("item"),
+        ),
+    )
     return rows_left.withColumn("_best", F.explode(kept))
 
 
@@ -134,12 +144,13 @@ def _joined_match(listings: DataFrame, profile: DataFrame, above: float) -> Data
 
 
 def best_match(listings: DataFrame, cat: DataFrame, above: float = R.BEST_MATCH_ABOVE,
-               families: DataFrame | None = None, inline_targets: int = INLINE_TARGETS) -> DataFrame:
+               families: DataFrame | None = None, inline_targets: int = INLINE_TARGETS,
+               distinct: bool = False) -> DataFrame:
     """Listings that have a compatible target scoring above the threshold, with item and score.
 
-    Ties go to the earlier catalog row.
+    Ties go to the earlier catalog row.  ``distinct`` says that item names are known to be unique.
     """
-    profile = match_profile(settled(distinct_items(cat)), families)
+    profile = match_profile(cat if distinct else settled(distinct_items(cat)), families)
     rows = profile.limit(inline_targets + 1).collect()
     matched = (
         _inline_match(listings, rows, above) if len(rows) <= inline_targets
@@ -162,7 +173,9 @@ def local_deals(listings: DataFrame, cat: DataFrame, families: DataFrame | None
         F.col("item_name").alias("matched_item"), "deal_price", "downsizing_keywords",
         "freebie_keywords", F.col("category").alias("reference_category"),
     )
-    matched = best_match(usable, cat, families=families, inline_targets=inline_targets)
+    matched = best_match(
+        usable, cat, families=families, inline_targets=inline_targets, distinct=True
+    )
     flag = F.col("price_flag") if "price_flag" in listings.columns else F.lit("normal")
     final = override_condition(F.col("condition"), F.col("description"), F.col("downsizing_keywords"))
     no_freebies = F.array().cast("array<string>")
