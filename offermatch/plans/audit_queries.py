@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermatch import rules as R
 from offermatch.operators import audits as A, deals as D
 from offermatch.plans import cascade as P
 from offermatch.plans.match_queries import DEALS

@@ -56,7 +56,7 @@ def strip_noise_listings(spark, sf):
 
 
 @query("redact_pii", f"""
-SELECT doc_id, {rewrite_sql('text', R.PERSONAL_DATA[:1])} AS redacted FROM documents""")
+SELECT doc_id, {rewrite_sql('text', R.PERSONAL_DATA)} AS redacted FROM documents""")
 def redact_pii(spark, sf):
     return documents(spark, sf).select("doc_id", X.redact_pii(F.col("text")).alias("redacted"))
 

@@ -5,7 +5,7 @@ The same SQL text runs in Spark and in the checking engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offermatch.functions.text import split_keywords
@@ -63,8 +63,6 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed catalog rows in item-name order (``ord`` 1, 2, ...)."""
     raw = _sql(spark, sf_dir, CATALOG_SQL, ["part"])
     # One row per distinct product name: a small dimension, so a global numbering is fine.
-    from pyspark.sql import Window
-
     return raw.select(
         F.row_number().over(Window.orderBy("item_name")).cast("long").alias("ord"),
         "item_name", "category", "retail_price", "deal_price", "target_type",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offermatch import rules as R
 from offermatch.functions.prices import as_double, parse_sheet_price
-from offermatch.functions.text import clean_string, split_keywords, strip_space, text_or_empty
+from offermatch.functions.text import clean_string, split_keywords, strip_space
 
 
 def parse_target_type(col: Column) -> Column:
