@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offermatch.session import cut_lineage
@@ -56,3 +57,27 @@ def per_process(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in state:
         state[key] = make()
     return state[key]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder and read back; cuts the lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+KEY = ("row_key_a", "row_key_b")
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """128 bits of hash over all columns: names a row, and equal rows alike."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(*columns).alias(KEY[0]), F.xxhash64(F.lit("b"), *columns).alias(KEY[1])]
+
+
+def one_row_each(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Joins ``keyed`` (its keys distinct) to ``docs`` by row key; of equal rows the first one stays."""
+    joined = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *row_key(docs)).join(keyed, list(KEY))
+    number = free_name(joined, "copy_number")
+    order = Window.partitionBy(*KEY).orderBy(KEY[0])
+    return joined.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number, *KEY)
