@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offermatch.llm import curriculum, packing, simhash, token_counts, token_files
+from offermatch.llm import (
+    curriculum, packing, personal_data, simhash, token_counts, token_files, weak_supervision,
+)
 from offermatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +40,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0)
 
 
+@query
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_supervision.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mixed(table(spark, sf_dir, "documents"))
@@ -47,3 +55,9 @@ def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal_data.digest(personal_data.spans_of(docs))
