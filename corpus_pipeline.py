@@ -7,18 +7,44 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offermatch.llm import packing
+from pyspark.sql import functions as F
+
+from offermatch.llm import curriculum, language, packing, personal_data, simhash
 from offermatch.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents without a letter, or that fit no language better than another, go."""
+    return language.accepted(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: one document of each group of near copies stays, that of the least doc_id."""
+    return simhash.deduplicated(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: marks stand for personal data; the number of characters follows the text."""
+    return personal_data.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: each document as often as its source's target takes it, in order of training."""
+    return curriculum.mixture(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: pieces of the kept documents with their places in sequences of 1024 ids."""
     return packing.packed_documents(docs, TOKENIZER, end_id=0)
 
 
 STAGES = [
+    ("identify_language", identify_language),
+    ("drop_near_copies", drop_near_copies),
+    ("redact_personal_data", redact_personal_data),
+    ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
 ]
 

@@ -47,16 +47,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def per_process(key: tuple, make: Callable[[], Any]) -> Any:
-    """Something costly that all tasks of a Python worker use: compiled tables, memos.
+def per_process(key: tuple, make: Callable[[], Any], version: str = "") -> Any:
+    """Something costly that all tasks of a Python worker use: compiled tables, memos, a version of a model.
 
     Functions travel by value, so their modules' globals are new in every task; this holder is not.
     """
     holder = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
     state = holder.__dict__.setdefault("state", {})
-    if key not in state:
-        state[key] = make()
-    return state[key]
+    if key not in state or state[key][0] != version:
+        state[key] = version, make()
+    return state[key][1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

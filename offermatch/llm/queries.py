@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from offermatch.llm import (
-    curriculum, packing, personal_data, simhash, token_counts, token_files, weak_supervision,
+    curriculum, language, packing, personal_data, simhash, token_counts, token_files, weak_supervision,
 )
 from offermatch.llm.common import table
 
@@ -61,3 +61,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return personal_data.digest(personal_data.spans_of(docs))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
