@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from offermatch.llm import (
-    curriculum, language, packing, personal_data, simhash, token_counts, token_files, weak_supervision,
+    curriculum, language, multi_index, packing, personal_data, perspectives, simhash, token_counts, token_files,
+    weak_supervision,
 )
 from offermatch.llm.common import table
+from offermatch.llm.oracles import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -28,6 +29,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, TOKENIZER, limit=1024).drop("text")
 
 
+@query
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.fresh_path(spark)
@@ -46,6 +52,11 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotated(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mixed(table(spark, sf_dir, "documents"))
