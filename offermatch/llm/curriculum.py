@@ -16,7 +16,7 @@ from offermatch.llm.common import KEY, one_row_each, row_key, stored, word_count
 WEIGHTS = (5, 2, 1)
 TILTS = (-0.5, 0.0, 0.5)  # change of a source's weight from the mean at the start (-tilt) to the end (+tilt)
 MOST = 3  # copies of a document, and targets in sizes of their source
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
