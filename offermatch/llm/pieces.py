@@ -240,10 +240,12 @@ class Memo:
             self.new, self.old = dict(self.fixed), self.new
         new, old = self.new, self.old
         found = list(map(new.get, pieces))
-        if None in found:
-            missing = {pieces[i]: old.get(pieces[i]) for i, value in enumerate(found) if value is None}
+        gaps = [i for i, value in enumerate(found) if value is None]
+        if gaps:
+            missing = {piece: old.get(piece) for piece in map(pieces.__getitem__, gaps)}
             unknown = [piece for piece, value in missing.items() if value is None]
             missing.update(zip(unknown, self.make(unknown)))
             new.update(missing)
-            found = list(map(new.get, pieces))
+            for i in gaps:
+                found[i] = missing[pieces[i]]
         return found

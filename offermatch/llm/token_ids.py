@@ -6,6 +6,7 @@ from array import array
 from collections.abc import Iterator
 
 from offermatch.llm.pieces import Memo, Splitter
+from offermatch.llm.token_counts import byte_letters
 
 
 class TokenEncoder:
@@ -23,13 +24,16 @@ class TokenEncoder:
         self.splitter = Splitter(path)
         special = {s: self.pack([self.tokenizer.token_to_id(s)]) for s in self.splitter.special}
         self.memo = Memo(special, self._encode)
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
 
     def pack(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [self.pack(e.ids) for e in done]
+        """Ids of pieces: the splitter did the pre-tokenizer's part, the library's model does the rest."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        return [self.pack([t.id for t in tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))])
+                for p in pieces]
 
     def encode(self, texts: list[str], end: bytes = b"") -> Iterator[bytes]:
         """Ids of each text, then ``end``."""
