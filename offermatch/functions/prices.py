@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,13 +21,32 @@ def parse_sheet_price(col: Column) -> Column:
     return as_double(F.nullif(F.regexp_extract(bare, R.SHEET_PRICE, 0), F.lit("")))
 
 
+ENTITY = r"&(?:#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]*;)"
+
+
+def _entity(found: Column) -> Column:
+    """The character of one entity, or the entity itself when it names none."""
+    body = F.regexp_replace(found, "[&#;xX]", "")
+    named = F.try_element_at(
+        F.create_map(*[F.lit(v) for pair in sorted(name2codepoint.items()) for v in pair]),
+        F.regexp_replace(found, "[&;]", ""),
+    )
+    point = (
+        F.when(found.rlike("^&#[xX]"), F.conv(body, 16, 10).try_cast("long"))
+        .when(F.startswith(found, F.lit("&#")), body.try_cast("long"))
+        .otherwise(named.cast("long"))
+    )
+    usable = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    letter = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return F.when(point.isNull(), found).when(usable, letter).otherwise("\ufffd")
+
+
 def unescape_entities(col: Column) -> Column:
-    """The entities that occur around displayed prices; '&amp;' last so it cannot chain."""
-    for entity, char in [("&nbsp;", " "), ("&#160;", " "), ("&#8369;", "₱"),
-                         ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                         ("&amp;", "&")]:
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
+    """Decimal, hexadecimal and named character entities, each decoded once."""
+    gaps, found = F.split(col, ENTITY, -1), F.regexp_extract_all(col, F.lit(ENTITY), F.lit(0))
+    letters = F.concat(F.transform(found, _entity), F.array(F.lit("")))
+    decoded = F.array_join(F.zip_with(gaps, letters, lambda gap, letter: F.concat(gap, letter)), "")
+    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
 
 
 def normalize_price(col: Column) -> Column:

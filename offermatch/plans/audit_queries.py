@@ -123,19 +123,27 @@ def chunk_candidates(spark, sf):
     return chunks(spark, sf).select("listing_id", "seq", "chunk_number")
 
 
-@query("audit_requests", f"""WITH {CANDS}
-SELECT chunk_number, count(*) AS candidate_count, count(*) AS blocks_found,
- concat('{{', string_agg(concat('"', listing_id, '":["', item_name, '"]'), ',' ORDER BY seq), '}}') AS allowed_targets,
- true AS has_catalog FROM chunks GROUP BY 1""")
+REQUEST = "Catalog: {target_items_json}\nAllowed: {allowed_targets_json}\n{candidate_listings_xml}"
+
+
+@query("audit_requests", f"""WITH {CANDS},
+quoted AS (SELECT chunk_number, string_agg('{{"item_name":' || to_json(c.item_name) || ',"category":' || to_json(category)
+ || ',"deal_price":' || to_json(c.deal_price) || ',"retail_price":' || to_json(retail_price) || ',"notes":"","target_type":'
+ || to_json(target_type) || ',"allow_bundle_check":' || to_json(allow_bundle_check) || '}}', ',' ORDER BY c.ord) AS items
+ FROM (SELECT DISTINCT chunk_number, item_name FROM chunks) JOIN catalog c USING (item_name) GROUP BY 1),
+packed AS (SELECT chunk_number, count(*) AS candidate_count,
+ concat('{{', string_agg(concat('"', listing_id, '":["', item_name, '"]'), ',' ORDER BY seq), '}}') AS allowed_targets
+ FROM chunks GROUP BY 1)
+SELECT chunk_number, candidate_count, candidate_count AS blocks_found, allowed_targets,
+ 'Catalog: [' || items || ']' || chr(10) || 'Allowed: ' || allowed_targets AS opening
+FROM packed JOIN quoted USING (chunk_number)""")
 def audit_requests(spark, sf):
     cat, rows = bridge.catalog(spark, sf), chunks(spark, sf)
-    allowed = A.allowed_targets(rows, cat, ["seq"])
-    text = "Catalog: {target_items_json}\nAllowed: {allowed_targets_json}\n{candidate_listings_xml}"
-    made = A.audit_requests(rows, allowed, text, A.catalog_json(cat))
+    made = A.audit_requests(rows, A.allowed_targets(rows, cat, ["seq"]), REQUEST, cat)
     return made.select(
         "chunk_number", "candidate_count",
         F.regexp_count("request", F.lit("<listing_untrusted_data id=")).cast("long").alias("blocks_found"),
-        "allowed_targets", F.startswith("request", F.lit('Catalog: [{"item_name":')).alias("has_catalog"),
+        "allowed_targets", F.concat_ws("\n", F.get(F.split("request", "\n"), F.lit(0)), F.get(F.split("request", "\n"), F.lit(1))).alias("opening"),
     )
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +29,19 @@ def parse_bundle_flag(col: Column) -> Column:
     )
 
 
-def read_csv_cells(spark: SparkSession, path: str, width: int = 64) -> DataFrame:
-    """A headerless CSV as (ord, cells); catalogs are small, so file order is one split's order."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    raw = spark.read.csv(path, header=False, schema=schema, multiLine=True)
-    return raw.coalesce(1).select(
-        F.monotonically_increasing_id().alias("ord"),
-        F.array(*[F.coalesce(c, F.lit("")) for c in raw.columns]).alias("cells"),
+def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """A headerless CSV as (ord, cells), each row with as many cells as it has.
+
+    A file is one row to its task, as quoted cells may hold line breaks.
+    """
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["value"]:
+                yield pd.DataFrame({"cells": list(csv.reader(io.StringIO(text, newline="")))})
+
+    files = spark.read.text(path, wholetext=True).coalesce(1)
+    return files.mapInPandas(parse, "cells array<string>").select(
+        F.monotonically_increasing_id().alias("ord"), "cells"
     )
 
 

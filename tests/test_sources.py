@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from offermatch.functions.prices import unescape_entities
 from offermatch.sources import catalog as C, listings as L, pages as P
 
 SITE = "https://market.example"
@@ -92,7 +93,7 @@ def test_csv_catalog(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text("x\n" + ",".join(f'"{h}"' for h in C.R.CATALOG_HEADERS) + '\n'
                     '"a, b",Cat,Item Name,"1,000",900,k,f,n,Game,yes\n')
-    row = C.read_catalog(C.read_csv_cells(spark, str(path), 12)).first()
+    row = C.read_catalog(C.read_csv_cells(spark, str(path))).first()
     assert (row.item_name, row.retail_price, row.target_type, row.allow_bundle_check) == (
         "a, b", 1000.0, "Game", True)
 
@@ -112,3 +113,28 @@ def test_price_and_link_corners(spark):
     df = spark.createDataFrame([("//h.example/a",), ("b",), ("?q",), ("http://x.example/y",)], "l string")
     got = [r.v for r in df.select(P.resolve_link(F.lit(SITE + "/s/t?page=1"), F.col("l")).alias("v")).collect()]
     assert got == ["https://h.example/a", SITE + "/s/b", SITE + "/s/t?q", "http://x.example/y"]
+
+
+def test_wide_csv(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("a,b\n" + ",".join(f"c{i}" for i in range(70)) + '\n"x,1","two\nlines"\n')
+    cells = [r.cells for r in C.read_csv_cells(spark, str(path)).orderBy("ord").collect()]
+    assert cells == [["a", "b"], [f"c{i}" for i in range(70)], ["x,1", "two\nlines"]]
+
+
+def test_nested_prices_and_entities(spark):
+    cards = [('{"price":{"amount":{"value":5}}}', 5.0), ('{"price":["PHP 7"]}', 7.0), ('{"price":"&#x20B1;1,200"}', 1200.0),
+             ('{"price":"&#8369;900&nbsp;"}', 900.0), ('{"price":{"x":1},"amount":"&yen;3"}', 3.0), ('{"price":null}', None)]
+    df = spark.createDataFrame(cards, "card string, want double")
+    got = df.select(P.card_price(F.try_parse_json("card")).alias("price"), "want").collect()
+    assert [r.price for r in got] == [r.want for r in got]
+    texts = spark.createDataFrame([("&lt;&amp;lt; &#x41;&#66; &bogus; &#xD800; plain",)], "t string")
+    assert texts.select(unescape_entities(F.col("t")).alias("t")).first().t == "<&lt; AB &bogus; \ufffd plain"
+
+
+def test_deep_json_is_an_error_row(spark):
+    deep = "<script>" + '{"a":' * 100_000 + "1" + "}" * 100_000 + "</script>"
+    nested = '<script>{"listingCards":[{"title":"t","x":' + "[" * 900 + "]" * 900 + "}]}</script>"
+    df = spark.createDataFrame([("u", deep, "1"), ("v", nested, "1")], "url string, html string, listing_id string")
+    assert {r.url: r.extract_status for r in P.page_cards(df).collect()}["u"] == "structure_error"
+    assert [r.status for r in P.detail_descriptions(df).collect()] == ["structure_error"] * 2
