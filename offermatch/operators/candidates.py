@@ -21,7 +21,6 @@ from offermatch.functions.prices import (
 )
 from offermatch.functions.text import expand_aliases, text_or_empty, tokens
 from offermatch.operators.variants import distinct_items, name_blocks, ord_blocks
-from offermatch.session import settled
 
 # Texts whose hits one Python worker remembers; repeated titles are scored once per worker.
 REMEMBERED_TEXTS = 20_000
@@ -56,7 +55,7 @@ def eligible_pairs(listings: DataFrame, cat: DataFrame, keep: list[str]) -> Data
     Names are exploded and equi-joined.  "Every target" explodes the catalog's names, which
     enter the plan in bounded blocks.
     """
-    cat = settled(distinct_items(cat))
+    cat = distinct_items(cat)
     limited = F.col("eligible_target_names").isNotNull()
     wanted = listings.filter(limited).select(
         *keep, F.explode(F.array_distinct("eligible_target_names")).alias("item_name")
@@ -163,7 +162,7 @@ def find_candidates(listings: DataFrame, cat: DataFrame, keep: list[str]) -> Dat
     ``listings`` needs title, description and price; ``eligible_target_names`` is honoured when
     present.  ``keep`` names the listing columns to carry along.
     """
-    cat = settled(distinct_items(cat))
+    cat = cat.filter(F.trim(F.coalesce("item_name", F.lit(""))) != "")
     title, description = text_or_empty(F.col("title")), text_or_empty(F.col("description"))
     kept = list(dict.fromkeys([*keep, "title", "description", "price"]))
     if "eligible_target_names" in listings.columns and "eligible_target_names" not in kept:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,20 +10,14 @@ from offermatch.functions.predicates import hardware_accessory, packaging_only
 from offermatch.functions.prices import accept_local
 from offermatch.functions.similarity import word_set_ratio
 from offermatch.functions.text import (
-    default_process, extract_freebies, let, override_condition, tokens, words,
+    default_process, extract_freebies, override_condition, tokens, words,
 )
 from offermatch.operators.variants import (
     distinct_items, group_families, variant_compatible, variant_profile,
 )
-from offermatch.session import settled
 
-# Targets that may sit in the plan as one constant; a larger catalog is joined instead.
-INLINE_TARGETS = 1_000
+SALTS = 8  # parts that a common anchor or title is split into
 _ANY = "*"
-_ENTRY = (
-    "struct<ord:bigint,item_name:string,target_type:string,words:array<string>,"
-    "required_tokens:array<string>,own_tokens:array<string>,sibling_tokens:array<string>>"
-)
 
 
 def _match_words(name: str) -> Column:
@@ -78,51 +70,25 @@ def _with_accessory_flags(listings: DataFrame) -> DataFrame:
     })
 
 
-def _inline_match(listings: DataFrame, rows: list, above: float) -> DataFrame:
-    """No shuffle and no pairs: candidates come from a constant anchor map, row by row."""
-    rows = sorted(rows, key=lambda r: r["ord"])
-    by_anchor: dict[str, list[int]] = {}
-    for i, row in enumerate(rows):
-        by_anchor.setdefault(row["anchor"], []).append(i)
-    # Constants of the plan; only positions travel with the rows.
-    anchors = F.from_json(F.lit(json.dumps(by_anchor)), "map<string,array<int>>")
-    targets = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), f"array<{_ENTRY}>")
-    found = F.flatten(F.filter(
-        F.transform(
-            F.concat(F.col("_tokens"), F.array(F.lit(_ANY))), lambda t: F.try_element_at(anchors, t)
-        ),
-        lambda hit: hit.isNotNull(),
-    ))
-    fitting = F.filter(found, lambda i: let(F.get(targets, i), lambda c: variant_compatible(
-        F.col("_tokens"), c["required_tokens"], c["own_tokens"], c["sibling_tokens"]
-    )))
-    # Exploding a one-element array, unlike a filter, is not pushed down and computed twice.
-    # Only listings with a compatible target go on to the accessory rules and the score.
-    rows_left = _with_accessory_flags(
-        listings.withColumn("_tokens", tokens(F.col("title")))
-        .withColumn("_fitting", F.explode(F.filter(F.array(fitting), lambda f: F.size(f) > 0)))
-        .drop("_tokens")
-    ).withColumn("_words", _match_words("title"))
-    allowed = F.filter(F.col("_fitting"), lambda i: _allowed(F.get(targets, i)["target_type"]))
-    best = F.array_max(F.transform(allowed, lambda i: F.struct(
-        word_set_ratio(F.col("_words"), F.get(targets, i)["words"]).alias("score"),
-        (-i).alias("tie"), i.alias("item"),
-    )))
-    kept = F.transform(
-        F.filter(F.array(best), lambda b: b["score"] > above),
-        lambda b: F.struct(
-            b["score"].alias("score"), b["tie"].alias("tie"),
-            F.get(targets, b["item"])["item_name"].alias("item"),
-        ),
-    )
-    return rows_left.withColumn("_best", F.explode(kept))
+def _every_part(df: DataFrame) -> DataFrame:
+    """The side that is repeated for each part; it has one row per target or per title."""
+    return df.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+
 
+def _part(*of: Column) -> Column:
+    return F.pmod(F.hash(*of), F.lit(SALTS))
 
-def _joined_match(listings: DataFrame, profile: DataFrame, above: float) -> DataFrame:
-    """For large catalogs: equi-join on the anchor over distinct titles, then back by title.
 
-    Hot titles collapse in the distinct; the join back leaves skew to adaptive splitting.
+def best_match(listings: DataFrame, cat: DataFrame, above: float = R.BEST_MATCH_ABOVE,
+               families: DataFrame | None = None, distinct: bool = False) -> DataFrame:
+    """Listings that have a compatible target scoring above the threshold, with item and score.
+
+    Distinct titles meet the targets whose anchor they contain, in an equi-join; repeated titles
+    collapse before it.  Common anchors, '*' among them, and common titles are split into parts, so
+    one plan serves a catalog of any size and Spark broadcasts it when its statistics allow.  Ties go
+    to the earlier catalog row.  ``distinct`` says that item names are known to be unique.
     """
+    profile = match_profile(cat if distinct else distinct_items(cat), families)
     key = ["title", "_accessory", "_packaging"]
     rows = _with_accessory_flags(listings)
     texts = rows.select(*key).distinct().withColumns({
@@ -130,7 +96,8 @@ def _joined_match(listings: DataFrame, profile: DataFrame, above: float) -> Data
     })
     pairs = (
         texts.withColumn("anchor", F.explode(F.concat(F.col("_tokens"), F.array(F.lit(_ANY)))))
-        .join(profile, "anchor")
+        .withColumn("_part", _part(F.col("title")))
+        .join(_every_part(profile), ["anchor", "_part"])
         .filter(_allowed(F.col("target_type")) & variant_compatible(
             F.col("_tokens"), F.col("required_tokens"), F.col("own_tokens"),
             F.col("sibling_tokens"),
@@ -140,42 +107,25 @@ def _joined_match(listings: DataFrame, profile: DataFrame, above: float) -> Data
         word_set_ratio(F.col("_words"), F.col("words")).alias("score"),
         (-F.col("ord")).alias("tie"), F.col("item_name").alias("item"),
     )).alias("_best"))
-    return rows.join(best.filter(F.col("_best.score") > above), key)
-
-
-def best_match(listings: DataFrame, cat: DataFrame, above: float = R.BEST_MATCH_ABOVE,
-               families: DataFrame | None = None, inline_targets: int = INLINE_TARGETS,
-               distinct: bool = False) -> DataFrame:
-    """Listings that have a compatible target scoring above the threshold, with item and score.
-
-    Ties go to the earlier catalog row.  ``distinct`` says that item names are known to be unique.
-    """
-    profile = match_profile(cat if distinct else settled(distinct_items(cat)), families)
-    rows = profile.limit(inline_targets + 1).collect()
-    matched = (
-        _inline_match(listings, rows, above) if len(rows) <= inline_targets
-        else _joined_match(listings, profile, above)
-    )
+    spread_rows = rows.withColumn("_part", _part(*[F.col(f"`{c}`") for c in listings.columns]))
+    matched = spread_rows.join(_every_part(best.filter(F.col("_best.score") > above)), [*key, "_part"])
     return matched.select(
         *listings.columns, F.col("_best.item").alias("matched_item"),
         F.col("_best.score").alias("match_score"),
     )
 
 
-def local_deals(listings: DataFrame, cat: DataFrame, families: DataFrame | None = None,
-                inline_targets: int = INLINE_TARGETS) -> DataFrame:
+def local_deals(listings: DataFrame, cat: DataFrame, families: DataFrame | None = None) -> DataFrame:
     """Offers at or below the deal price of their best match, enriched for output."""
     usable = listings.filter(
         (F.coalesce("title", F.lit("")) != "") & F.col("price").isNotNull()
     )
-    cat = settled(distinct_items(cat))
+    cat = distinct_items(cat)
     targets = cat.select(
         F.col("item_name").alias("matched_item"), "deal_price", "downsizing_keywords",
         "freebie_keywords", F.col("category").alias("reference_category"),
     )
-    matched = best_match(
-        usable, cat, families=families, inline_targets=inline_targets, distinct=True
-    )
+    matched = best_match(usable, cat, families=families, distinct=True)
     flag = F.col("price_flag") if "price_flag" in listings.columns else F.lit("normal")
     final = override_condition(F.col("condition"), F.col("description"), F.col("downsizing_keywords"))
     no_freebies = F.array().cast("array<string>")

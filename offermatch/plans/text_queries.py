@@ -41,7 +41,22 @@ def expand_aliases(spark, sf):
     )
 
 
-@query("strip_noise")
+def _noise_sql(text: str) -> str:
+    """The noise rules without lookaround: a word's edges and what ends a stretch are put back.
+
+    Neighbouring stretches share the character between them, so each rule runs twice.
+    """
+    letter = r"\p{L}\p{M}\p{N}_"
+    tags = f"regexp_replace({text}, '#[\\p{{L}}\\p{{N}}_]+', '', 'g')".replace("\\\\", "\\")
+    for names in (r"gcash|maya|bpi|bdo|bank\s*transfer|cod|meet\s*up|lalamove|grab|j&t|shipping",
+                  r"rfs|reason\s*for\s*selling"):
+        rule = rf"(?i)(^|[^{letter}])(?:{names})(?:[^{letter},.\n][^,.\n]*|([,.\n]|$))"
+        for _ in range(2):
+            tags = f"regexp_replace({tags}, '{rule}', '\\1\\2', 'g')".replace("\\\\", "\\")
+    return f"trim(regexp_replace({tags}, '\\s+', ' ', 'g'))".replace("\\\\", "\\")
+
+
+@query("strip_noise", f"SELECT doc_id, {_noise_sql('text')} AS plain FROM documents")
 def strip_noise(spark, sf):
     return documents(spark, sf).select("doc_id", X.strip_noise(F.col("text")).alias("plain"))
 

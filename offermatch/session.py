@@ -35,23 +35,6 @@ def local_session(cores: int | str = 8, app: str = "offermatch", memory: str = "
     return spark
 
 
-def within_bound(df: DataFrame, rows: int = BOUNDED_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def settled(df: DataFrame, rows: int = BOUNDED_ROWS) -> DataFrame:
-    """A small reference table read once into the plan; a larger table comes back unchanged.
-
-    Spark then knows its exact size: it broadcasts it on its own and derives from it without
-    exchanges.  Nothing here forces a broadcast of a table that has grown.
-    """
-    found = df.limit(rows + 1).toArrow()
-    if found.num_rows > rows:
-        return df
-    return df.sparkSession.createDataFrame(found, df.schema).coalesce(1)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; a temporary one only in tests."""
     context = df.sparkSession.sparkContext
