@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offermatch import rules as R
+
 from offermatch.operators import audits as A, deals as D
 from offermatch.plans import cascade as P
 from offermatch.plans.match_queries import DEALS
@@ -278,12 +280,28 @@ def chunk_summary(spark, sf):
 @query("batch_summary", f"""WITH {CANDS}, {SUMMARY}
 SELECT count(*) AS chunks, sum(candidate_count)::BIGINT AS candidates, sum(attempts)::BIGINT AS attempts,
  count_if(succeeded)::BIGINT AS succeeded_chunks, false AS whole_batch_fallback, 200 AS http_status,
- count_if(NOT succeeded)::BIGINT AS failed_chunks, arg_min(failure_reason, chunk_number) AS first_failure FROM summary""")
+ count_if(NOT succeeded)::BIGINT AS failed_chunks, string_agg('chunk ' || chunk_number || ': ' || failure_reason, '; '
+  ORDER BY chunk_number) FILTER (WHERE NOT succeeded) AS failure_reason FROM summary""")
 def batch_summary(spark, sf):
     rows = chunks(spark, sf)
     return A.batch_summary(A.chunk_summary(rows, responses(rows)))
 
 
+BODY = """CASE l_linenumber WHEN 1 THEN '[1]' WHEN 2 THEN '{"audit":[]}' WHEN 3 THEN '{"audits":{}}'
+ WHEN 4 THEN 'no json' WHEN 5 THEN '{"audits":[3]}' ELSE '{"audits":[]}' END"""
+
+
+@query("payload_errors", f"""
+SELECT l_orderkey * 8 + l_linenumber AS chunk_number, CASE WHEN l_linenumber IN (1, 4) THEN '{R.PAYLOAD_NOT_OBJECT}'
+ ELSE '{R.PAYLOAD_WITHOUT_AUDITS.replace("'", "''")}' END AS error FROM lineitem WHERE l_linenumber < 5 AND l_quantity > 10""")
+def payload_errors(spark, sf):
+    status = F.when(F.col("l_quantity") > 10, 200).otherwise(500)
+    return A.payload_errors(table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("chunk_number"), status.alias("http_status"),
+        F.expr(BODY).alias("body"),
+    ))
+
+
 # --- bundle prices, conditions, deals --------------------------------------------------------
 
 OFFER = """concat('set of tools', chr(10), CASE l_linenumber WHEN 1 THEN concat(item_name, ' - 350')

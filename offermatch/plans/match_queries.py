@@ -310,15 +310,13 @@ def lookup(spark, sf):
 @query("accept_local_deals", f"""WITH RECURSIVE {DEALS}
 SELECT listing_id, {KEY}, matched_item, match_score AS local_match_score, 'normal' AS price_flag,
  'local_fallback' AS audit_source FROM deals d
-WHERE EXISTS (SELECT 1 FROM flagged f WHERE f.listing_id = d.listing_id AND f.l_partkey % 2 = 0
- AND f.title LIKE concat(d.matched_item, '%'))""")
+WHERE EXISTS (SELECT 1 FROM listings f JOIN part ON f.l_partkey = p_partkey
+ WHERE f.listing_id = d.listing_id AND p_name = d.matched_item)""")
 def accept_local_deals(spark, sf):
-    """Deals backed by pairs of even parts whose title starts with the part name."""
+    """Deals backed by the pair of their own part."""
     listings, cat = bridge.listings(spark, sf), bridge.catalog(spark, sf)
     names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    pairs = listings.join(names, "l_partkey").filter(
-        (F.col("l_partkey") % 2 == 0) & F.startswith("title", F.col("p_name"))
-    ).select(
+    pairs = listings.join(names, "l_partkey").select(
         "listing_id", "title", F.col("p_name").alias("item_name"), F.lit("normal").alias("price_flag"),
         F.struct(*LISTING_ORDER).alias("seq"),
     )
