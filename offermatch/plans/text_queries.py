@@ -103,7 +103,18 @@ def compress(spark, sf):
     return documents(spark, sf).select("doc_id", X.compress_text(F.col("text")).alias("short"))
 
 
-@query("clean_for_audit")
+@query("clean_for_audit", f"""
+WITH safe AS (SELECT doc_id, replace(regexp_replace(regexp_replace({rewrite_sql('text', R.PERSONAL_DATA)},
+ '{R.CONTROL_CHARS}', '', 'g'), '{R.STRUCTURAL_TAGS}', '{R.TAG_MARKER}', 'g'), '```', '''''''''') AS t FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '\\r\\n|[\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(10))) AS line,
+ generate_subscripts(string_split(regexp_replace(t, '\\r\\n|[\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(10)), 1) AS n
+ FROM safe),
+plain AS (SELECT doc_id, n, {_noise_sql('line')} AS line FROM lines),
+joined AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE line <> ''), '') AS t FROM plain
+ GROUP BY doc_id)
+SELECT doc_id, CASE WHEN length(t) <= {R.AUDIT_TEXT_CHARS} THEN t
+ ELSE rtrim(CASE WHEN regexp_matches(substring(t, {R.AUDIT_TEXT_CHARS} + 1, 1), '\\s') THEN left(t, {R.AUDIT_TEXT_CHARS})
+  ELSE regexp_replace(left(t, {R.AUDIT_TEXT_CHARS}), '\\S+\\n?$', '') END, ' ' || chr(10)) END AS plain FROM joined""")
 def clean_for_audit(spark, sf):
     return documents(spark, sf).select("doc_id", X.clean_for_audit(F.col("text")).alias("plain"))
 
