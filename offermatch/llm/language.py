@@ -19,7 +19,7 @@ from offermatch.llm.common import free_name, per_process, stored
 LETTERS = r"\p{L}+"
 LONGEST = 5
 SAMPLE_DOCS = 20_000  # labelled documents the classifier is fitted on, in expectation; all, if fewer
-MODEL_ROWS = 150_000  # words and n-grams (each with a language) that the model keeps, the most telling first
+MODEL_ROWS = 80_000  # words and n-grams (each with a language) that the model keeps, the most telling first
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 DOUBT = 12  # words after which more of the same no longer raise the score
@@ -97,26 +97,45 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     shares = F.create_map(*[F.lit(v) for (word, name), n in totals.items() for v in (f"{word}{name}", float(n))])
     weight = F.col("n") / F.element_at(shares, F.concat(F.col("word").cast("string"), "lang"))
     rows = counted.withColumn("weight", weight).orderBy(F.desc("weight"), "token", "lang", "word").limit(MODEL_ROWS).select("word", "token", "lang", "n")
-    return Model.of([tuple(r) for r in rows.collect()], totals)
+    columns = rows.toArrow()
+    return Model.of(list(zip(*(columns.column(c).to_pylist() for c in ("word", "token", "lang", "n")))), totals)
 
 
 class Scorer:
-    """Scores words by a model; remembers rows of unseen words."""
+    """Scores texts by a model; rows of unseen words are remembered, forgetting them changes nothing."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.memo: dict[str, np.ndarray] = {}
+        import regex
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        out = np.empty((len(words), len(self.model.languages)))
-        for i, word in enumerate(words):
-            row = self.memo.get(word)
-            if row is None:
-                row = self.memo[word] = self.model.word(word)
-            out[i] = row
-        return out
+        self.model = model
+        self.words = regex.compile(LETTERS).findall
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.table = np.empty((1024, len(self.model.languages)))
+
+    def rows(self, words: list[str]) -> list[int]:
+        found = list(map(self.index.get, words))
+        if None in found:
+            for word in {w for w, i in zip(words, found) if i is None}:
+                place = self.index[word] = len(self.index)
+                if place == len(self.table):
+                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
+                self.table[place] = self.model.word(word)
+            found = list(map(self.index.get, words))
+        return found
+
+    def judge(self, text: str | None) -> tuple[str, float]:
+        words = self.words((text or "").lower())
+        if not words or not self.model.languages:
+            return UNDETERMINED, 0.0
+        if len(self.index) > 200_000:
+            self.clear()
+        rows = self.rows(words)
+        evidence = self.table[rows].mean(axis=0) * min(len(words), DOUBT)
+        best = int(evidence.argmax())
+        return self.model.languages[best], float(1 / np.exp(evidence - evidence[best]).sum())
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -124,58 +143,34 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     ``und`` with score 0 where the text is null or has no letter, or where the model knows no language;
     ties go to the first language in code point order.  The score is the winner's posterior probability,
-    with the evidence of at most a dozen words' mean, so that it stays short of 1 where words disagree.
+    with the words' mean evidence counted a dozen times at most, so that it stays short of 1 where they disagree.
     Rows stay as they are, also repeated ones; columns with clashing names stay and the new ones get
     underscores.  One narrow pass.
     """
     import pyarrow as pa
 
-    word_name = free_name(docs, "letter_words")
     lang_name, score_name = free_name(docs, "lang_pred"), free_name(docs, "score")
-    body = F.lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    worded = docs.withColumn(word_name, F.regexp_extract_all(body, F.lit(LETTERS), F.lit(0)))
     version = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.table))
 
-    def judge(words: pa.ListArray, scorer: Scorer) -> tuple[list[str], np.ndarray]:
-        sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        places = coded.indices.to_numpy()
-        table = scorer.rows(coded.dictionary.to_pylist())
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        sums = np.stack([np.bincount(owner, weights=table[places, i], minlength=len(sizes))
-                         for i in range(table.shape[1])], axis=1)
-        mean = sums / np.maximum(sizes, 1)[:, None] * np.minimum(sizes, DOUBT)[:, None]
-        best = mean.argmax(axis=1)
-        score = 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
-        names = scorer.model.languages
-        return ([names[b] if n else UNDETERMINED for b, n in zip(best.tolist(), sizes.tolist())],
-                np.where(sizes > 0, score, 0.0))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = per_process(("language scorer",), lambda: Scorer(Model(*shared.value)), version)
         for batch in batches:
-            place = batch.schema.get_field_index(word_name)
-            if scorer.model.languages and len(batch):
-                langs, scores = judge(batch.column(place), scorer)
-            else:
-                langs, scores = [UNDETERMINED] * len(batch), np.zeros(len(batch))
-            kept = [i for i in range(batch.num_columns) if i != place]
+            judged = [scorer.judge(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
+            langs, scores = ([j[i] for j in judged] for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                schema=pa.schema([*(batch.schema.field(i) for i in kept), pa.field(lang_name, pa.string()),
-                                  pa.field(score_name, pa.float64())]))
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                schema=pa.schema([*batch.schema, pa.field(lang_name, pa.string()), pa.field(score_name, pa.float64())]))
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return worded.mapInArrow(work, f"{schema}`{lang_name}` string, `{score_name}` double")
+    return docs.mapInArrow(work, f"{schema}`{lang_name}` string, `{score_name}` double")
 
 
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, by a model learned from the others' labels."""
     model = learn(docs, doc_id, text, lang)
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    worded = predicted(slim, model)
-    return worded.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predicted(slim, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text",
