@@ -76,8 +76,11 @@ def row_key(df: DataFrame) -> list[Column]:
 
 
 def one_row_each(docs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Joins ``keyed`` (its keys distinct) to ``docs`` by row key; of equal rows the first one stays."""
-    joined = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *row_key(docs)).join(keyed, list(KEY))
-    number = free_name(joined, "copy_number")
-    order = Window.partitionBy(*KEY).orderBy(KEY[0])
-    return joined.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number, *KEY)
+    """``row``, a struct of the columns of ``docs``, beside those of ``keyed``, joined by row key.
+
+    The keys of ``keyed`` are distinct; of equal rows of ``docs`` the first one stays.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    joined = docs.select(row, *row_key(docs)).join(keyed, list(KEY))
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy(KEY[0]))
+    return joined.withColumn("copy_number", first).where("copy_number = 1").drop("copy_number", *KEY)

@@ -100,8 +100,5 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     keyed = mixed(docs, doc_id, source, text).where("copies > 0").groupBy(*KEY).agg(
         F.flatten(F.collect_list("times")).alias("training_times"))
     rows = one_row_each(docs, stored(keyed, "mixture"))
-    when = "training_time"
-    while when in {c.lower() for c in docs.columns}:
-        when += "_"
-    copies = rows.withColumn(when, F.explode("training_times")).drop("training_times")
-    return copies.repartitionByRange(when).sortWithinPartitions(when).drop(when)
+    copies = rows.select("row", F.explode("training_times").alias("time"))
+    return copies.repartitionByRange("time").sortWithinPartitions("time").select("row.*")

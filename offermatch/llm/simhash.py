@@ -221,4 +221,4 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     prints, classes = _classes(docs, doc_id, text)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)).alias("first")
     kept = prints.join(classes, "fp").groupBy("root").agg(first).select(*[f"first.{k}" for k in KEY]).distinct()
-    return one_row_each(docs, stored(kept, "kept"))
+    return one_row_each(docs, stored(kept, "kept")).select("row.*")

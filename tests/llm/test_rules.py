@@ -154,8 +154,8 @@ def test_curriculum(spark):
         taken[key] = taken.get(key, 0) + r["taken"]
     assert all(abs(t - goal) <= 20 for (_, goal), t in taken.items())
     assert curriculum.mixed(df.limit(0)).count() == 0
-    mixture = curriculum.mixture(df.withColumn("Training_Time", F.lit(5)))
-    assert mixture.columns == ["doc_id", "source", "text", "Training_Time"]
+    mixture = curriculum.mixture(df.withColumns({"Training_Times": F.lit(5), "row_key_b": F.lit(6), "time": F.lit(7)}))
+    assert mixture.columns == ["doc_id", "source", "text", "Training_Times", "row_key_b", "time"]
     assert mixture.count() == sum(r["copies"] for r in got)
 
 

@@ -57,7 +57,9 @@ def test_near_duplicates(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(map(tuple, got), key=key) == sorted(
         ((k, f"{p:016x}", c) for (k, _), p, c in zip(rows, prints, want)), key=key)
-    kept = simhash.deduplicated(df).collect()
+    clashing = df.withColumns({"ROW_KEY_A": F.lit(1), "row": F.lit(2), "fp": F.lit(3)})
+    assert simhash.deduplicated(clashing).columns == clashing.columns
+    kept = simhash.deduplicated(clashing).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted({c for c in want})
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     assert simhash.deduplicated(df.limit(0)).count() == 0
