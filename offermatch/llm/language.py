@@ -7,11 +7,12 @@ n-grams, the longest that are known in training, from five characters down to on
 from __future__ import annotations
 
 import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offermatch.llm.common import free_name, per_process, stored
@@ -19,14 +20,17 @@ from offermatch.llm.common import free_name, per_process, stored
 LETTERS = r"\p{L}+"
 LONGEST = 5
 SAMPLE_DOCS = 20_000  # labelled documents the classifier is fitted on, in expectation; all, if fewer
-MODEL_ROWS = 80_000  # words and n-grams (each with a language) that the model keeps, the most telling first
-SMOOTHING = 0.5
+HELD_WORDS = 50_000  # the most frequent words, whose evidence every task holds; that of the others is joined
+SMOOTHING = 0.5  # of one occurrence among those in all languages, so that the size of a language favours none
 UNDETERMINED = "und"
 DOUBT = 12  # words after which more of the same no longer raise the score
 
 
 class Model:
-    """Log frequencies by language: a row of ``table`` for each known word and n-gram."""
+    """Log frequencies by language: a row of ``table`` for each known word and n-gram.
+
+    The plain definition, for small tables; ``learn`` gives the same log frequencies as a table.
+    """
 
     def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray):
         self.languages, self.words, self.grams, self.table = languages, words, grams, table
@@ -39,15 +43,15 @@ class Model:
         index: dict[bool, dict[str, int]] = {True: {}, False: {}}
         for word, token, _, _ in rows:
             index[word].setdefault(token, len(index[True]) + len(index[False]))
-        counts = np.full((len(index[True]) + len(index[False]), len(languages)), SMOOTHING)
+        counts = np.zeros((len(index[True]) + len(index[False]), len(languages)))
         kinds = np.zeros(len(counts), bool)
         for word, token, lang, count in rows:
             counts[index[word][token], place[lang]] += count
             kinds[index[word][token]] = word
-        table = np.log(counts)
+        table = np.empty_like(counts)
         for kind in (True, False):
-            sums = np.array([totals.get((kind, lang), 0) + SMOOTHING * (len(index[kind]) + 1) for lang in languages])
-            table[kinds == kind] -= np.log(sums)
+            sums = np.array([totals.get((kind, lang), 0) for lang in languages])
+            table[kinds == kind] = np.log(counts[kinds == kind] / np.maximum(sums, 1) + SMOOTHING / max(sums.sum(), 1))
         return cls(languages, index[True], index[False], table)
 
     def word(self, word: str) -> np.ndarray:
@@ -68,109 +72,209 @@ def held_out(doc_id: str = "doc_id") -> Any:
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+class Learned(NamedTuple):
+    """What the labelled documents teach about the words of all documents."""
+
+    languages: list[str]
+    evidence: DataFrame | None  # token, total (occurrences in all documents), vec (log frequencies by language)
+
+
+def counts(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
+    """lang, token, n: the words of all texts, counted by ``lang``, which is null for those that teach nothing."""
+    import pyarrow as pa
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, held = regex.compile(LETTERS).findall, Held()
+        for batch in batches:
+            for name, words in zip(batch.column(0), batch.column(1)):
+                if words.is_valid:
+                    held.by[name.as_py()].update(find(words.as_py().lower()))
+            yield from held.full()
+        yield from held.all()
+
+    return docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(work, Held.SCHEMA).groupBy("lang", "token").agg(
+        F.sum("n").alias("n"))
+
+
+class Held:
+    """Counts by language of a task, given on when they are many; the sums of what is given on are whole."""
+
+    SCHEMA = "lang string, token string, n long"
+    MANY = 200_000
+
+    def __init__(self) -> None:
+        self.by: defaultdict[str | None, Counter] = defaultdict(Counter)
+
+    def full(self) -> Iterator[Any]:
+        if sum(map(len, self.by.values())) > self.MANY:
+            yield from self.all()
+
+    def all(self) -> Iterator[Any]:
+        import pyarrow as pa
+
+        kinds = pa.schema([("lang", pa.string()), ("token", pa.string()), ("n", pa.int64())])
+        for lang, found in self.by.items():
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(found), pa.string()), pa.array(found.keys(), pa.string()),
+                pa.array(found.values(), pa.int64())], schema=kinds)
+        self.by.clear()
+
+
+def grams_of(word: str) -> Iterator[str]:
+    marked = f"^{word}$"
+    return (marked[i:i + n] for n in range(1, min(LONGEST, len(marked)) + 1) for i in range(len(marked) - n + 1))
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """lang, token, n: the character n-grams of words that are given as lang, token, n."""
+    import pyarrow as pa
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
+        for batch in batches:
+            for name, word, times in zip(*(column.to_pylist() for column in batch.columns)):
+                found = held.by[name]
+                for gram in grams_of(word):
+                    found[gram] += times
+            yield from held.full()
+        yield from held.all()
+
+    return words.select("lang", "token", "n").mapInArrow(work, Held.SCHEMA).groupBy("lang", "token").agg(
+        F.sum("n").alias("n"))
+
+
+def word_grams(words: DataFrame) -> DataFrame:
+    """id, gram, times: the distinct character n-grams of words that are given as id and token."""
+    import pyarrow as pa
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                ids, grams, times = [], [], []
+                for key, word in zip(*(column.to_pylist() for column in batch.slice(at, 1_000).columns)):
+                    found = Counter(grams_of(word))
+                    ids += [key] * len(found)
+                    grams += found.keys()
+                    times += found.values()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(grams, pa.string()), pa.array(times, pa.int64())],
+                    names=["id", "gram", "times"])
+
+    return words.select("id", "token").mapInArrow(work, "id long, gram string, times long")
+
+
+def by_language(counted: DataFrame, languages: list[str], name: str) -> tuple[DataFrame, Column]:
+    """token, total, c (counts by language) of each token; log frequencies by language as a Column over it."""
+    wide = stored(counted.groupBy("token").agg(F.sum("n").alias("total"), F.array(*[
+        F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)) for lang in languages]).alias("c")), name)
+    found = wide.agg(*[F.sum(F.col("c")[i]) for i in range(len(languages))]).first()
+    sums = [n or 0 for n in found]
+    least = SMOOTHING / max(sum(sums), 1)
+    return wide, F.array(*[F.log(F.col("c")[i] / max(n, 1) + least) for i, n in enumerate(sums)])
+
+
+def taught() -> Column:
+    return F.exists("c", lambda n: n > 0)
+
+
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-          sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from the text and lang of documents that are not held out.
+          sample_docs: int = SAMPLE_DOCS) -> Learned:
+    """Evidence for every word of ``docs``, from the text and lang of documents that are not held out.
 
-    The sample is a hash range of ids, a share of all rows such that ``sample_docs`` are expected; counting
-    is distributed, and at most ``MODEL_ROWS`` rows come to the driver.  Rows without id, text or lang
-    teach nothing.
+    The sample is a hash range of ids, a share of all rows such that ``sample_docs`` are expected.  Rows
+    without id, text or lang teach nothing.  All words and n-grams of the sample count, and the log frequencies
+    of all words, as in ``Model``, are a table; nothing of its size comes to the driver or to a task.
     """
     all_rows = max(docs.count(), 1)
     chosen = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit("sample")), F.lit(all_rows)) < sample_docs
-    labelled = docs.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{lang}`").isNotNull() & ~held_out(doc_id) & chosen)
-    words = stored(labelled.select(
-        F.col(f"`{lang}`").cast("string").alias("lang"),
-        F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(LETTERS), F.lit(0))).alias("token")
-    ).groupBy("lang", "token").agg(F.count("*").alias("n")), "words")
-    marked = words.withColumn("m", F.concat(F.lit("^"), "token", F.lit("$")))
-    places = F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, LONGEST + 1)]), lambda n: F.transform(
-        F.when(n <= F.length("m"), F.sequence(F.lit(1), F.length("m") - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda at: F.substring(F.col("m"), at, n))))
-    grams = marked.select("lang", F.explode(places).alias("token"), "n").groupBy("lang", "token").agg(
-        F.sum("n").alias("n"))
-    counted = stored(words.select(F.lit(True).alias("word"), "lang", "token", "n").union(
-        grams.select(F.lit(False), "lang", "token", "n")), "counts")
-    totals = {(r["word"], r["lang"]): r["n"] for r in counted.groupBy("word", "lang").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return Model([], {}, {}, np.zeros((0, 0)))
-    shares = F.create_map(*[F.lit(v) for (word, name), n in totals.items() for v in (f"{word}{name}", float(n))])
-    weight = F.col("n") / F.element_at(shares, F.concat(F.col("word").cast("string"), "lang"))
-    rows = counted.withColumn("weight", weight).orderBy(F.desc("weight"), "token", "lang", "word").limit(MODEL_ROWS).select("word", "token", "lang", "n")
-    columns = rows.toArrow()
-    return Model.of(list(zip(*(columns.column(c).to_pylist() for c in ("word", "token", "lang", "n")))), totals)
-
-
-class Scorer:
-    """Scores texts by a model; rows of unseen words are remembered, forgetting them changes nothing."""
-
-    def __init__(self, model: Model):
-        import regex
-
-        self.model = model
-        self.words = regex.compile(LETTERS).findall
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.table = np.empty((1024, len(self.model.languages)))
-
-    def rows(self, words: list[str]) -> list[int]:
-        found = list(map(self.index.get, words))
-        if None in found:
-            for word in {w for w, i in zip(words, found) if i is None}:
-                place = self.index[word] = len(self.index)
-                if place == len(self.table):
-                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                self.table[place] = self.model.word(word)
-            found = list(map(self.index.get, words))
-        return found
-
-    def judge(self, text: str | None) -> tuple[str, float]:
-        words = self.words((text or "").lower())
-        if not words or not self.model.languages:
-            return UNDETERMINED, 0.0
-        if len(self.index) > 200_000:
-            self.clear()
-        rows = self.rows(words)
-        evidence = self.table[rows].mean(axis=0) * min(len(words), DOUBT)
-        best = int(evidence.argmax())
-        return self.model.languages[best], float(1 / np.exp(evidence - evidence[best]).sum())
-
-
-def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus lang_pred and score (0 to 1), from the text alone.
-
-    ``und`` with score 0 where the text is null or has no letter, or where the model knows no language;
+    teaches = F.col(f"`{doc_id}`").isNotNull() & ~held_out(doc_id) & chosen
+    words = stored(counts(docs, F.when(teaches, F.col(f"`{lang}`").cast("string")), F.col(f"`{text}`")), "words")
+    labelled = words.where(F.col("lang").isNotNull())
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
+    if not languages:
+        return Learned([], None)
+    known, word_logs = by_language(words, languages, "known")
+    grams, gram_logs = by_language(gram_counts(labelled), languages, "grams")
+    unseen = stored(known.where(~taught()).select("token", "total", F.monotonically_increasing_id().alias("id")), "unseen")
+    found = word_grams(unseen).join(grams.select(F.col("token").alias("gram"), gram_logs.alias("v")), "gram")
+    means = found.groupBy("id", F.length("gram").alias("size")).agg(F.array(*[
+        F.sum(F.col("v")[i] * F.col("times")) / F.sum("times") for i in range(len(languages))]).alias("v"))
+    longest = means.groupBy("id").agg(F.max_by("v", "size").alias("vec"))
+    nothing = F.array(*[F.lit(0.0)] * len(languages))
+    backed = unseen.join(longest, "id", "left").select("token", "total", F.coalesce("vec", nothing).alias("vec"))
+    return Learned(languages, stored(
+        known.where(taught()).select("token", "total", word_logs.alias("vec")).unionAll(backed), "evidence"))
+
+
+def predicted(docs: DataFrame, learned: Learned, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs``, or those to keep, plus lang_pred and score (0 to 1), from the text alone.
+
+    ``und`` with score 0 where the text is null or has no letter, or where no language is known;
     ties go to the first language in code point order.  The score is the winner's posterior probability,
     with the words' mean evidence counted a dozen times at most, so that it stays short of 1 where they disagree.
     Rows stay as they are, also repeated ones; columns with clashing names stay and the new ones get
-    underscores.  One narrow pass.
+    underscores.  Each task holds the evidence of the most frequent words; for the others, the rows are
+    joined with it.
     """
     import pyarrow as pa
 
+    kept = docs.columns if keep is None else keep
     lang_name, score_name = free_name(docs, "lang_pred"), free_name(docs, "score")
+    columns = [F.col(f"`{c}`") for c in kept]
+    size = len(learned.languages)
+    if not size:
+        return docs.select(*columns, F.lit(UNDETERMINED).alias(lang_name), F.lit(0.0).alias(score_name))
+    held = learned.evidence.orderBy(F.desc("total"), "token").limit(HELD_WORDS).select("token", "vec").toArrow()
+    rows = held.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, size)
     version = uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((held.column("token").to_pylist(), rows))
+    row, part, words, rare = (free_name(docs, n) for n in ("row_number", "row_part", "row_words", "row_rare"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_process(("language scorer",), lambda: Scorer(Model(*shared.value)), version)
+        import regex
+
+        find = regex.compile(LETTERS).findall
+        index, table = per_process(("language evidence",), lambda: (
+            {token: i for i, token in enumerate(shared.value[0])}, shared.value[1]), version)
         for batch in batches:
-            judged = [scorer.judge(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
-            langs, scores = ([j[i] for j in judged] for i in (0, 1))
+            sums, numbers, others = [], [], []
+            for value in batch.column(batch.schema.get_field_index(text)):
+                found = find((value.as_py() or "").lower())
+                at = list(map(index.get, found))
+                others.append([w for w, i in zip(found, at) if i is None] if None in at else [])
+                numbers.append(len(found))
+                sums.append(table[[i for i in at if i is not None] if others[-1] else at].sum(axis=0) if found else np.zeros(size))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                schema=pa.schema([*batch.schema, pa.field(lang_name, pa.string()), pa.field(score_name, pa.float64())]))
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.mapInArrow(work, f"{schema}`{lang_name}` string, `{score_name}` double")
+                [*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(sums, pa.list_(pa.float64())),
+                 pa.array(numbers, pa.int64()), pa.array(others, pa.list_(pa.string()))],
+                schema=pa.schema([*(batch.schema.field(c) for c in kept), pa.field(part, pa.list_(pa.float64())),
+                                  pa.field(words, pa.int64()), pa.field(rare, pa.list_(pa.string()))]))
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema)
+    parts = stored(docs.mapInArrow(work, f"{schema}`{part}` array<double>, `{words}` long, `{rare}` array<string>").withColumn(
+        row, F.monotonically_increasing_id()), "parts")
+    pairs = parts.select(F.col(row).alias("row"), F.explode(rare).alias("token")).join(learned.evidence, "token")
+    rest = pairs.groupBy("row").agg(F.array(*[F.sum(F.col("vec")[i]) for i in range(size)]).alias("rest"))
+    whole = parts.join(rest.select(F.col("row").alias(row), F.col("rest").alias(rare + "_")), row, "left")
+    total = F.when(F.col(rare + "_").isNull(), F.col(part)).otherwise(
+        F.zip_with(part, rare + "_", lambda a, b: a + b))
+    share = F.least(F.col(words), F.lit(DOUBT)) / F.col(words)
+    best = F.array_max(part)
+    names = F.array(*map(F.lit, learned.languages))
+    any_word = F.col(words) > 0
+    return whole.withColumn(part, F.when(any_word, F.transform(total, lambda x: x * share))).select(
+        *columns,
+        F.when(any_word, F.element_at(names, F.array_position(part, best).cast("int"))).otherwise(UNDETERMINED).alias(lang_name),
+        F.when(any_word, 1 / F.aggregate(part, F.lit(0.0), lambda a, x: a + F.exp(x - best))).otherwise(0.0).alias(score_name))
 
 
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, by a model learned from the others' labels."""
-    model = learn(docs, doc_id, text, lang)
+    learned = learn(docs, doc_id, text, lang)
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return predicted(slim, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predicted(slim, learned, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text",

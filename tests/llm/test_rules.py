@@ -122,6 +122,39 @@ def test_language(spark):
     assert kept.columns == [*docs.columns, "LANG_PRED"] and kept.count() >= 995
 
 
+def test_no_word_is_cut_from_the_vocabulary(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i, n=4: "".join(letters[i // 26**k % 26] for k in range(n))
+    rows = [(i, "aa", " ".join(f"a{word(i * 100 + j)}" for j in range(100))) for i in range(200)]
+    rows += [(1000 + i, "zz", f"z{word(i // 4 % 20)}zu") for i in range(80)]
+    rows += [(2000 + i, "яя", f"ж{'бвг'[i % 3]}ю") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learned = language.learn(df)
+    got = {r["token"]: r["vec"] for r in learned.evidence.collect()}
+    counted = {}
+    teaching = {r["doc_id"] for r in df.where(~language.held_out()).collect()}
+    for key, lang, text in rows:
+        for w in re.findall(r"\w+", text) if key in teaching else ():
+            marked = f"^{w}$"
+            grams = [marked[i:i + n] for n in range(1, 6) for i in range(len(marked) - n + 1)]
+            for kind, token in [(True, w), *((False, g) for g in grams)]:
+                counted[kind, token, lang] = counted.get((kind, token, lang), 0) + 1
+    totals = {}
+    for (kind, _, lang), n in counted.items():
+        totals[kind, lang] = totals.get((kind, lang), 0) + n
+    model = language.Model.of([(*k, n) for k, n in counted.items()], totals)
+    assert len(counted) > 80_000 and learned.languages == model.languages
+    assert set(got) == {w for _, _, t in rows for w in t.split()}
+    for w, vec in got.items():
+        assert vec == pytest.approx(model.word(w).tolist(), abs=1e-9), w
+    plain = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predicted(df, learned).collect()}
+    assert sum(plain[key][0] == lang for key, lang, _ in rows) >= 0.99 * len(rows)
+    assert all(plain[key][0] == lang for key, lang, _ in rows if lang == "яя")
+    monkeypatch.setattr(language, "HELD_WORDS", 7)
+    for r in language.predicted(df, learned).collect():
+        assert r["lang_pred"] == plain[r["doc_id"]][0] and r["score"] == pytest.approx(plain[r["doc_id"]][1])
+
+
 def test_backoff_is_word_first():
     model = language.Model.of(
         [(True, "the", "a", 9), (True, "der", "b", 9), (False, "^de", "b", 9), (False, "e", "a", 3), (False, "e", "b", 3),
