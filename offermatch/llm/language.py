@@ -19,7 +19,6 @@ from offermatch.llm.common import free_name, per_process, stored
 
 LETTERS = r"\p{L}+"
 LONGEST = 5
-SAMPLE_DOCS = 20_000  # labelled documents the classifier is fitted on, in expectation; all, if fewer
 HELD_WORDS = 50_000  # the most frequent words, whose evidence every task holds; that of the others is joined
 SMOOTHING = 0.5  # of one occurrence among those in all languages, so that the size of a language favours none
 UNDETERMINED = "und"
@@ -179,17 +178,13 @@ def taught() -> Column:
     return F.exists("c", lambda n: n > 0)
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-          sample_docs: int = SAMPLE_DOCS) -> Learned:
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Learned:
     """Evidence for every word of ``docs``, from the text and lang of documents that are not held out.
 
-    The sample is a hash range of ids, a share of all rows such that ``sample_docs`` are expected.  Rows
-    without id, text or lang teach nothing.  All words and n-grams of the sample count, and the log frequencies
-    of all words, as in ``Model``, are a table; nothing of its size comes to the driver or to a task.
+    All of these count, with all their words and n-grams; rows without id, text or lang teach nothing.  The log
+    frequencies of all words, as in ``Model``, are a table; nothing of its size comes to the driver or to a task.
     """
-    all_rows = max(docs.count(), 1)
-    chosen = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit("sample")), F.lit(all_rows)) < sample_docs
-    teaches = F.col(f"`{doc_id}`").isNotNull() & ~held_out(doc_id) & chosen
+    teaches = F.col(f"`{doc_id}`").isNotNull() & ~held_out(doc_id)
     words = stored(counts(docs, F.when(teaches, F.col(f"`{lang}`").cast("string")), F.col(f"`{text}`")), "words")
     labelled = words.where(F.col("lang").isNotNull())
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
@@ -279,7 +274,13 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
 def accepted(docs: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text",
              lang: str = "lang") -> DataFrame:
-    """The rows whose language is determined with at least the score ``least``."""
-    judged = predicted(docs, learn(docs, doc_id, text, lang), text)
+    """The rows whose language is determined with at least the score ``least``.
+
+    Where no label teaches a language, those whose text has a letter.
+    """
+    learned = learn(docs, doc_id, text, lang)
+    if not learned.languages:
+        return docs.where(F.regexp_like(F.col(f"`{text}`"), F.lit(LETTERS)))
+    judged = predicted(docs, learned, text)
     lang_name, score_name = judged.columns[-2:]
     return judged.where((F.col(lang_name) != UNDETERMINED) & (F.col(score_name) >= least)).drop(lang_name, score_name)

@@ -1,6 +1,7 @@
 """Personal data, weak supervision, language, curriculum and perspectives on small tables."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -155,6 +156,27 @@ def test_no_word_is_cut_from_the_vocabulary(spark, monkeypatch):
         assert r["lang_pred"] == plain[r["doc_id"]][0] and r["score"] == pytest.approx(plain[r["doc_id"]][1])
 
 
+def test_every_labelled_document_teaches(spark):
+    rare = [(40_000 + i, "zz", "zog zig zag") for i in range(40)]
+    many = spark.range(40_000).select(
+        "id", F.when(F.col("id") % 100 == 0, "aa").alias("lang"), F.lit("alpha beta").alias("text"))
+    df = many.unionAll(spark.createDataFrame(rare, "id long, lang string, text string"))
+    teaching = df.where(~language.held_out("id") & F.col("lang").isNotNull())
+    learned = language.learn(df, "id")
+    assert learned.languages == ["aa", "zz"]
+    words = learned.evidence.where("token in ('alpha', 'zog')").collect()
+    assert {r["token"]: r["total"] for r in words} == {"alpha": 40_000, "zog": 40}
+    sums = {r["lang"]: r["count"] for r in teaching.groupBy("lang").count().collect()}
+    least = language.SMOOTHING / (2 * sums["aa"] + 3 * sums["zz"])
+    vec = {r["token"]: r["vec"] for r in words}
+    assert math.exp(vec["zog"][0]) == pytest.approx(least)
+    assert math.exp(vec["zog"][1]) == pytest.approx(1 / 3 + least)
+    assert {r["lang_pred"] for r in language.predicted(df.where("lang = 'zz'"), learned).collect()} == {"zz"}
+    bare = spark.createDataFrame([(1, None, "some text"), (2, None, "12 !"), (3, None, None)], "doc_id long, lang string, text string")
+    assert [r["doc_id"] for r in language.accepted(bare).collect()] == [1]
+    assert {r["lang_pred"] for r in language.identified(bare).collect()} == {"und"}
+
+
 def test_backoff_is_word_first():
     model = language.Model.of(
         [(True, "the", "a", 9), (True, "der", "b", 9), (False, "^de", "b", 9), (False, "e", "a", 3), (False, "e", "b", 3),
