@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 BITS = 128
 SAMPLE_ROWS = 20_000  # vectors that rotations and radius are learned from, in expectation; all, if fewer
-SAMPLE_QUERIES = 300
-SAMPLE_RECALL = 0.96  # of the sample's true neighbours inside the radius
+SAMPLE_QUERIES = 300  # of the sample's different vectors, at random
+SAMPLE_RECALL = 0.96  # of a query's true neighbours inside the radius, for this share of the queries
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 1_024
 STRIPE = 128  # queries that a task compares at a time
@@ -65,12 +65,15 @@ def learn(sample: np.ndarray, norm: float, k: int, bits: int = BITS, seed: int =
     while sum(p.shape[1] for p in parts) < bits:
         parts.append(rotation(widened, min(64, bits), random))
     codes = Codes(np.column_stack(parts)[:, :bits], norm, bits)
-    asked = sample[:SAMPLE_QUERIES]
-    scores = asked @ sample.T
-    scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    near = np.argsort(-scores, axis=1)[:, :max(1, min(k, len(sample) - 1))]
-    apart = distances(codes.of(asked, True)[:, None, :], codes.of(sample, False)[near])
-    return codes._replace(radius=int(np.quantile(apart, SAMPLE_RECALL, method="higher")))
+    different = np.unique(sample, axis=0)
+    chosen = random.permutation(len(different))[:SAMPLE_QUERIES]
+    asked = different[chosen]
+    scores = asked @ different.T
+    scores[np.arange(len(asked)), chosen] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, :max(1, min(k, len(different) - 1))]
+    apart = distances(codes.of(asked, True)[:, None, :], codes.of(different, False)[near])
+    needed = np.quantile(apart, SAMPLE_RECALL, axis=1, method="higher")
+    return codes._replace(radius=int(np.quantile(needed, SAMPLE_RECALL, method="higher")))
 
 
 class MultiIndex:

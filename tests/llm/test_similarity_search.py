@@ -131,6 +131,26 @@ def test_nearest_rows(spark):
     assert multi_index.nearest(few.limit(0)).count() == 0
 
 
+def test_a_dense_group_of_first_ids_does_not_set_the_radius():
+    random = np.random.default_rng(5)
+    centres = random.standard_normal((200, 64))
+    vectors = centres[random.integers(0, 200, 12_000)] + 0.5 * random.standard_normal((12_000, 64))
+    vectors[:600] = vectors[0] + 1e-6 * random.standard_normal((600, 64))
+    vectors[300:600] = vectors[300]
+    codes = multi_index.learn(vectors, np.linalg.norm(vectors, axis=1).max(), 20)
+    ids = np.arange(len(vectors))
+    asked = ids[1000::55]
+    blocks = [multi_index.search(codes, asked, vectors[asked], ids[b::4], vectors[b::4], 20) for b in range(4)]
+    hits = 0
+    for q in asked:
+        found = sorted(((s, -i) for qs, js, ss in blocks for i, s in zip(js[qs == q], ss[qs == q])), reverse=True)[:20]
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len({-i for _, i in found} & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert codes.radius >= 20
+    assert hits >= 0.95 * 20 * len(asked)
+
+
 def test_every_code_within_the_radius_is_retrieved():
     random = np.random.default_rng(3)
     codes = random.integers(0, 256, (400, 16), np.uint8)
