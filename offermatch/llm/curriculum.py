@@ -101,4 +101,32 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
         F.flatten(F.collect_list("times")).alias("training_times"))
     rows = one_row_each(docs, stored(keyed, "mixture"))
     copies = rows.select("row", F.explode("training_times").alias("time"))
-    return copies.repartitionByRange("time").sortWithinPartitions("time").select("row.*")
+    return in_training_order(copies).select("row.*")
+
+
+def in_training_order(copies: DataFrame, *more: str) -> DataFrame:
+    """Range-sorted by ``time``, null last, then by ``more``."""
+    order = [F.col("time").asc_nulls_last(), *map(F.col, more)]
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def rows_in_order(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of ``mixed`` by the training time of their first copy, those without a copy last."""
+    timed = mixed(docs, doc_id, source, text).withColumn("time", F.get("times", F.lit(0)))
+    return in_training_order(timed, "doc_id", *KEY)
+
+
+def positions(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, copy, time, position of every copy: its training time and its place from 0 in training order.
+
+    Copies are numbered in the partitions of the range sort, shifted by the counts of earlier partitions.
+    """
+    each = mixed(docs, doc_id, source, text).select("doc_id", *KEY, F.posexplode("times").alias("copy", "time"))
+    numbered = stored(in_training_order(each, "doc_id", *KEY, "copy").select(
+        "doc_id", "copy", "time", F.monotonically_increasing_id().alias("n")), "positions")
+    part, place = F.shiftright("n", 33), F.col("n").bitwiseAND((1 << 33) - 1)
+    sizes = numbered.groupBy(part.cast("int").alias("part")).agg(F.count("*").alias("held"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("start"))
+    return numbered.withColumn("part", part.cast("int")).join(starts, "part").select(
+        "doc_id", "copy", "time", (F.col("start") + place).alias("position"))

@@ -59,8 +59,13 @@ def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum.mixed(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    ordered = curriculum.rows_in_order(table(spark, sf_dir, "documents"))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def curriculum_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.positions(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offermatch.llm import curriculum, language, personal_data, perspectives, weak_supervision
+from offermatch.llm.queries import QUERIES
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -214,6 +215,32 @@ def test_curriculum(spark):
     assert mixture.count() == sum(r["copies"] for r in got)
 
 
+def test_every_copy_has_a_training_position(spark):
+    rows = [(i, f"s{i % 3}", "w " * (1 + i * 7 % 40)) for i in range(300)] + [(None, "s1", "x y"), (3, "s0", "w w"), (3, "s0", "w w")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    times = {}
+    for r in curriculum.mixed(df).collect():
+        times.setdefault(r["doc_id"], []).extend(r["times"])
+    got = curriculum.positions(df.repartition(5)).collect()
+    assert sorted(r["position"] for r in got) == list(range(sum(map(len, times.values()))))
+    in_order = [r["time"] for r in sorted(got, key=lambda r: r["position"])]
+    assert in_order == sorted(in_order)
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append(r["time"])
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in times.items() if v}
+
+
+def test_the_registered_curriculum_stands_in_training_order(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = {r["doc_id"]: min(r["times"], default=2) for r in curriculum.mixed(docs).collect()}
+    got = [first[r["doc_id"]] for r in QUERIES["op7_curriculum"](spark, sf).collect()]
+    assert got == sorted(got) and len(got) == len(first)
+    assert QUERIES["curriculum_positions"](spark, sf).count() == sum(
+        r["copies"] for r in curriculum.mixed(docs).collect())
+
+
 def test_training_time_inverts_the_schedule(spark):
     df = spark.range(0, 11).select((F.col("id") / 10).alias("f")).select(
         *[curriculum.training_time(F.col("f"), F.lit(t)).alias(str(i)) for i, t in enumerate(curriculum.TILTS)], "f")
