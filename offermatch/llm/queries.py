@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from offermatch.llm import (
-    curriculum, language, multi_index, packing, personal_data, perspectives, simhash, token_counts, token_files,
-    weak_supervision,
+    bin_completion, curriculum, language, merkle, multi_index, packing, personal_data, perspectives, simhash,
+    threshold_join, token_counts, token_files, weak_supervision,
 )
 from offermatch.llm.common import table
 from offermatch.llm.oracles import SQL  # noqa: F401
@@ -82,3 +83,23 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(threshold_join.finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    whole = threshold_join.whole_components(F.col("embedding")).cast("array<double>")
+    rows = vectors.select(F.col("vec_id").alias("id"), label.alias("label"), whole.alias("v"))
+    return threshold_join.hard_negatives(rows, every=50)
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered=(tampered, "text"))
+
+
+@query
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.packed_whole(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0)
