@@ -12,6 +12,7 @@ from offermatch.llm import (
     bin_completion, curriculum, language, merkle, multi_index, packing, personal_data, perspectives, simhash,
     threshold_join, token_counts, token_files, weak_supervision,
 )
+from offermatch.llm.blocks import finite
 from offermatch.llm.common import table
 from offermatch.llm.oracles import SQL  # noqa: F401
 
@@ -87,7 +88,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").where(threshold_join.finite(F.col("embedding")))
+    vectors = table(spark, sf_dir, "embeddings").where(finite(F.col("embedding")))
     label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
     whole = threshold_join.whole_components(F.col("embedding")).cast("array<double>")
     rows = vectors.select(F.col("vec_id").alias("id"), label.alias("label"), whole.alias("v"))

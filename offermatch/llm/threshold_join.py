@@ -17,7 +17,7 @@ neither a frequent label nor thousands of equal vectors can fill a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 from typing import NamedTuple
 
@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offermatch.llm.blocks import first_of_each, matrix, visit
 from offermatch.llm.common import stored
 
 BLOCK_ROWS = 16_384  # mean rows of a block
@@ -102,18 +103,6 @@ class Index:
         return rest[:, ends] * self.rest[np.arange(start, len(self.ids)), ends][None, :]
 
 
-def _first(who: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of each anchor's first ``k``: higher score first, ties to the smaller id."""
-    order = np.lexsort((ids, -scores, who))
-    first = np.searchsorted(who[order], who[order])
-    return order[np.arange(len(order)) - first < k]
-
-
-def _matrix(column) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
-
-
 FOUND = "anchor long, no int, id long, score long"
 
 
@@ -123,19 +112,18 @@ def join(rows: DataFrame, anchors: DataFrame, plan: Plan, blocks: int) -> DataFr
     ``rows`` has id, label, v; ``anchors`` has those and ``windows``.  A row's own id is no partner.
     """
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     schema = pa.schema([("anchor", pa.int64()), ("no", pa.int32()), ("id", pa.int64()), ("score", pa.int64())])
 
-    def probe(held: dict, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+    def probe(held: Callable[[int], Index | None], asked: pa.Table) -> Iterator[pa.RecordBatch]:
         labels = asked.column("label").to_numpy()
-        exact = _matrix(asked.column("v"))
+        exact = matrix(asked.column("v"))
         ids, windows = asked.column("id").to_numpy(), asked.column("windows").to_pylist()
         least = np.array([min(w["least"] for w in ws) for ws in windows])
         most = max(map(len, windows))
         for label in np.unique(labels).tolist():
             mine = np.flatnonzero(labels == label)
-            index = held["index"](label)
+            index = held(label)
             if index is None:
                 continue
             for at in range(0, len(mine), STRIPE):
@@ -150,17 +138,16 @@ def join(rows: DataFrame, anchors: DataFrame, plan: Plan, blocks: int) -> DataFr
                     low = np.array([max(w["low"], int(max(w["least"], -9e18))) if w else LAST for w in asked_here])
                     high = np.array([w["high"] if w else FIRST for w in asked_here])
                     inside = np.flatnonzero((scores >= low[who]) & (scores <= high[who]))
-                    kept = inside[_first(who[inside], index.ids[found[inside]], scores[inside], plan.k)]
+                    kept = inside[first_of_each(who[inside], index.ids[found[inside]], scores[inside], plan.k)]
                     if len(kept):
                         numbers = np.array([w["no"] if w else -1 for w in asked_here], np.int32)[who[kept]]
                         yield pa.RecordBatch.from_arrays([
                             pa.array(ids[who[kept]]), pa.array(numbers), pa.array(index.ids[found[kept]]),
                             pa.array(scores[kept])], schema=schema)
 
-    def hold(parts: list[pa.Table]) -> dict:
-        table = pa.concat_tables(parts)
-        labels, ids, exact = table.column("label").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("v"))
-        made: dict = {}
+    def hold(table: pa.Table) -> Callable[[int], Index | None]:
+        labels, ids, exact = table.column("label").to_numpy(), table.column("id").to_numpy(), matrix(table.column("v"))
+        made: dict[int, Index | None] = {}
 
         def index(label: int) -> Index | None:
             if label not in made:
@@ -169,30 +156,9 @@ def join(rows: DataFrame, anchors: DataFrame, plan: Plan, blocks: int) -> DataFr
                 made[label] = Index(ids[side], exact[side], plan) if len(side) else None
             return made[label]
 
-        return {"index": index}
+        return index
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, held = None, [], None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            numbers = table.column("block").to_numpy()
-            for number in np.unique(numbers).tolist():
-                if number != block:
-                    block, parts, held = number, [], None
-                here = table.filter(pa.array(numbers == number))
-                asks = here.column("windows").is_valid()
-                parts += [part for part in [here.filter(pc.invert(asks))] if len(part)]
-                asked = here.filter(asks)
-                if len(asked) and parts:
-                    held = held or hold(parts)
-                    yield from probe(held, asked)
-
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    visits = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    both = rows.select("id", "label", "v", F.lit(None).cast(f"array<{WINDOW}>").alias("windows"), block.alias("block")).unionByName(
-        anchors.select("id", "label", "v", "windows", visits.alias("block")))
-    dealt = both.repartition("block").sortWithinPartitions("block", F.col("windows").isNotNull())
-    return dealt.mapInArrow(search, FOUND)
+    return visit(rows.select("id", "label", "v"), anchors.select("id", "label", "v", "windows"), blocks, hold, probe, FOUND)
 
 
 def fill(rows: DataFrame, anchors: DataFrame, order: np.ndarray, same: bool, k: int, blocks: int) -> DataFrame:
@@ -235,11 +201,6 @@ def whole_components(vector: Column, factor: int = 256) -> Column:
     return F.transform(vector.cast("array<double>"), lambda x: F.floor(x * F.lit(float(factor))))
 
 
-def finite(vector: Column) -> Column:
-    """Not null, and every component finite."""
-    return F.coalesce(F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
-
-
 def hard_negatives(rows: DataFrame, every: int, positives: int = 5, negatives: int = 3, low: int = 50,
                    high: int = 95) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
@@ -270,8 +231,8 @@ def hard_negatives(rows: DataFrame, every: int, positives: int = 5, negatives: i
         count, total, squared = 0, 0.0, 0.0
         for batch in batches:
             if batch.num_rows:
-                matrix = _matrix(pa.Table.from_batches([batch]).column("v")).astype(np.float64)
-                count, total, squared = count + len(matrix), total + matrix.sum(axis=0), squared + (matrix * matrix).sum(axis=0)
+                part = matrix(pa.Table.from_batches([batch]).column("v")).astype(np.float64)
+                count, total, squared = count + len(part), total + part.sum(axis=0), squared + (part * part).sum(axis=0)
         if count:
             size = length["size"]
             yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([count] * size, pa.int64()),
