@@ -1,12 +1,15 @@
 """Similarity scorers as Column expressions.
 
 The base is the longest common subsequence, computed bit-parallel (Hyyro 2004) as a fold over
-characters.  The shorter string becomes the bit pattern; when it exceeds the 62 bits that a
-signed bigint can carry without overflow, a row-by-row dynamic program takes over.
+characters.  The shorter string becomes the bit pattern, in words of 62 bits, which is what a signed
+bigint adds without overflow; additions carry from word to word.  Patterns of one word, nearly all, fold
+over plain numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,82 +18,126 @@ from offermatch.functions.text import let, text_or_empty, words
 _BITS = 62
 
 
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
+
+
 def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), position)
 
 
 def _chars(col: Column) -> Column:
-    return F.filter(F.split(col, ""), lambda c: c != "")
+    """Code points, each as a string."""
+    return F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0))
 
 
-def _lcs_bits(pattern: Column, text: Column) -> Column:
-    zero = F.lit(0).cast("bigint")
-    letters = F.transform(
-        _chars(pattern), lambda c, i: F.struct(c.alias("c"), _bit(i).alias("b"))
+def _placed(letters: Column, of: Callable[[Column], Column]) -> Column:
+    """Map from each different letter to ``of`` that letter."""
+    distinct = F.array_distinct(letters)
+    return F.map_from_arrays(distinct, F.transform(distinct, of))
+
+
+def _mask(letters: Column, letter: Column) -> Column:
+    """Bits of the places where at most 62 letters equal one."""
+    return F.aggregate(
+        F.transform(letters, lambda c, i: F.when(c == letter, _bit(i)).otherwise(_zero())),
+        _zero(), lambda m, b: m.bitwiseOR(b),
     )
 
-    def masks_of(placed: Column) -> Column:
-        distinct = F.array_distinct(F.transform(placed, lambda p: p["c"]))
-        return F.map_from_arrays(
-            distinct,
-            F.transform(distinct, lambda c: F.aggregate(
-                placed, zero,
-                lambda m, p: F.when(p["c"] == c, m.bitwiseOR(p["b"])).otherwise(m),
-            )),
-        )
 
-    def fold(v: Column) -> Column:
-        full = v["full"]
-        # Characters outside the pattern leave the state as it is.
-        hits = F.filter(
-            F.transform(_chars(text), lambda c: F.try_element_at(v["masks"], c)),
-            lambda m: m.isNotNull(),
-        )
-        final = F.aggregate(
-            hits, full,
-            lambda state, m: (
-                (state + state.bitwiseAND(m)).bitwiseOR(state - state.bitwiseAND(m))
-            ).bitwiseAND(full),
-        )
-        return (F.length(pattern) - F.bit_count(final)).cast("int")
+def _step(state: Column, mask: Column, full: Column) -> Column:
+    hit = state.bitwiseAND(mask)
+    return (state + hit).bitwiseOR(state - hit).bitwiseAND(full)
 
-    return let(
-        F.struct(let(letters, masks_of).alias("masks"), (_bit(F.length(pattern)) - 1).alias("full")),
-        fold,
-    )
 
+class _OneWord:
+    """A pattern of at most 62 letters: masks and states are numbers."""
+
+    @staticmethod
+    def masks(pattern: Column) -> Column:
+        return let(_chars(pattern), lambda letters: _placed(letters, lambda c: _mask(letters, c)))
+
+    @staticmethod
+    def hits(text: Column, masks: Column) -> Column:
+        return F.transform(_chars(text), lambda c: F.coalesce(F.try_element_at(masks, c), _zero()))
+
+    @staticmethod
+    def lcs(hits: Column, size: Column, full: Column) -> Column:
+        final = F.aggregate(hits, full, lambda state, m: F.when(m == 0, state).otherwise(_step(state, m, full)))
+        return size - F.bit_count(final)
+
+    @staticmethod
+    def full(size: Column) -> Column:
+        return _bit(size) - 1
+
+
+class _Words:
+    """A pattern of any length: masks and states are arrays of 62-bit words, lowest first."""
+
+    @staticmethod
+    def masks(pattern: Column) -> Column:
+        def words_of(letters: Column, letter: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(letters), F.lit(_BITS))
+            return F.transform(starts, lambda at: _mask(F.slice(letters, at, F.lit(_BITS)), letter))
+
+        return let(_chars(pattern), lambda letters: _placed(letters, lambda c: words_of(letters, c)))
+
+    @staticmethod
+    def hits(text: Column, masks: Column) -> Column:
+        return F.transform(_chars(text), lambda c: F.try_element_at(masks, c))
+
+    @staticmethod
+    def full(size: Column) -> Column:
+        starts = F.sequence(F.lit(0), size - 1, F.lit(_BITS))
+        return F.transform(starts, lambda at: _bit(F.least(size - at, F.lit(_BITS))) - 1)
+
+    @staticmethod
+    def lcs(hits: Column, size: Column, full: Column) -> Column:
+        def add(state: Column, mask: Column) -> Column:
+            """One step over all words; what a word's sum exceeds 62 bits by goes to the next word."""
+            begin = F.struct(F.array().cast("array<bigint>").alias("words"), _zero().alias("carry"))
 
-def _lcs_rows(a: Column, b: Column) -> Column:
-    other = _chars(b)
+            def word(acc: Column, at: Column) -> Column:
+                own = F.get(state, at)
+                hit = own.bitwiseAND(F.get(mask, at))
+                total = own + hit + acc["carry"]
+                kept = total.bitwiseOR(own - hit).bitwiseAND(F.get(full, at))
+                return F.struct(
+                    F.concat(acc["words"], F.array(kept)).alias("words"),
+                    F.call_function("shiftrightunsigned", total, F.lit(_BITS)).alias("carry"),
+                )
 
-    def next_row(row: Column, ch: Column) -> Column:
-        # row[j] = LCS of the consumed part of a and the first j characters of b
-        def cell(acc: Column, j: Column) -> Column:
-            here = F.when(F.get(other, j - 1) == ch, F.get(row, j - 1) + 1).otherwise(
-                F.greatest(F.get(row, j), F.element_at(acc, -1))
-            )
-            return F.concat(acc, F.array(here))
+            return F.aggregate(F.sequence(F.lit(0), F.size(full) - 1), begin, word)["words"]
 
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(other)), F.array(F.lit(0)), cell
+        final = F.aggregate(hits, full, lambda state, m: F.when(m.isNull(), state).otherwise(add(state, m)))
+        return size - F.aggregate(final, F.lit(0), lambda n, w: n + F.bit_count(w))
+
+
+def _folded(pattern: Column, text: Column, result: Callable[[type, Column, Column], Column]) -> Column:
+    """``result(kind, hits of the text's letters, full)`` for a pattern that is not empty."""
+    def with_words(kind: type) -> Column:
+        return let(
+            F.struct(kind.masks(pattern).alias("masks"), kind.full(F.length(pattern)).alias("full")),
+            lambda v: let(kind.hits(text, v["masks"]), lambda hits: result(kind, hits, v["full"])),
         )
 
-    start = F.array_repeat(F.lit(0), F.size(other) + 1)
-    return F.element_at(F.aggregate(_chars(a), start, next_row), -1)
+    return F.when(F.length(pattern) <= _BITS, with_words(_OneWord)).otherwise(with_words(_Words))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    a, b = text_or_empty(a), text_or_empty(b)
-    ordered = F.struct(
+def _short_and_long(a: Column, b: Column) -> Column:
+    return F.struct(
         F.when(F.length(a) <= F.length(b), a).otherwise(b).alias("short"),
         F.when(F.length(a) <= F.length(b), b).otherwise(a).alias("long"),
     )
+
+
+def lcs_length(a: Column, b: Column) -> Column:
     return let(
-        ordered,
+        _short_and_long(text_or_empty(a), text_or_empty(b)),
         lambda p: F.when(F.length(p["short"]) == 0, F.lit(0))
         .when(p["short"] == p["long"], F.length(p["short"]))
-        .when(F.length(p["short"]) <= _BITS, _lcs_bits(p["short"], p["long"]))
-        .otherwise(_lcs_rows(p["short"], p["long"])),
+        .otherwise(_folded(p["short"], p["long"], lambda kind, hits, full: kind.lcs(
+            hits, F.length(p["short"]), full).cast("int"))),
     )
 
 
@@ -159,3 +206,49 @@ def _rest_score(parts: Column) -> Column:
         )
 
     return let(measured, score)
+
+
+def _best_window(pattern: Column, text: Column) -> Column:
+    """Best ratio of the pattern with the stretches of its length of a text that is not shorter; at both ends
+    of the text they are cut off.
+
+    A stretch whose first letter the pattern lacks is no better than the one a letter further on, and one cut
+    off at the text's begin whose last letter it lacks no better than the one a letter shorter: both are passed over.
+    """
+    size, length = F.length(pattern), F.length(text)
+
+    def windows(kind: type, hits: Column, full: Column) -> Column:
+        def best(v: Column) -> Column:
+            m, n = v["m"], v["n"]
+
+            def worth(begin: Column) -> Column:
+                hit = F.get(hits, F.when(begin < 0, begin + m - 1).otherwise(begin))
+                return hit.isNotNull() & (hit != 0) if kind is _OneWord else hit.isNotNull()
+
+            def score(begin: Column) -> Column:
+                start = F.greatest(begin, F.lit(0))
+                return let(F.least(begin + m, n) - start, lambda width: (
+                    F.lit(1.0) - (m + width - 2 * kind.lcs(F.slice(hits, start + 1, width), m, full)) / (m + width)) * 100.0)
+
+            begins = F.filter(F.sequence(1 - m, n - 1), worth)
+            return F.coalesce(F.array_max(F.transform(begins, score)), F.lit(0.0))
+
+        return let(F.struct(size.alias("m"), length.alias("n")), best)
+
+    return _folded(pattern, text, windows)
+
+
+def partial_ratio(a: Column, b: Column) -> Column:
+    """Best ratio of the shorter text with a stretch of the longer one; texts of one length go both ways."""
+    def ways(p: Column) -> Column:
+        back = F.struct(p["long"].alias("short"), p["short"].alias("long"))
+        both = F.when(F.length(p["short"]) == F.length(p["long"]), F.array(p, back)).otherwise(F.array(p))
+        return F.array_max(F.transform(both, lambda w: _best_window(w["short"], w["long"])))
+
+    return let(
+        _short_and_long(text_or_empty(a), text_or_empty(b)),
+        lambda p: F.when(F.length(p["long"]) == 0, F.lit(100.0))
+        .when(F.length(p["short"]) == 0, F.lit(0.0))
+        .when(F.contains(p["long"], p["short"]), F.lit(100.0))
+        .otherwise(ways(p)),
+    )

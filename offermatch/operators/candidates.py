@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-import json
-from collections import OrderedDict
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offermatch import rules as R
-from offermatch.functions.fuzzy import partial_scores, token_set_scores
 from offermatch.functions.predicates import (
     hardware_accessory, has_bundle_cues, packaging_only,
 )
 from offermatch.functions.prices import (
-    below_ceiling, needs_recovery, price_eligible, quoted_amounts, triage_amounts,
+    below_ceiling, price_eligible, quoted_amounts, triage_amounts,
 )
-from offermatch.functions.text import expand_aliases, text_or_empty, tokens
-from offermatch.operators.variants import distinct_items, name_blocks, ord_blocks
+from offermatch.functions.similarity import partial_ratio, token_set_ratio
+from offermatch.functions.text import expand_aliases, let, text_or_empty, tokens, words
+from offermatch.operators.pairs import every_part, letter_pairs, letter_tokens, over_all_tasks, part_of
+from offermatch.operators.variants import distinct_items
+from offermatch.session import cut_lineage
 
-# Texts whose hits one Python worker remembers; repeated titles are scored once per worker.
-REMEMBERED_TEXTS = 20_000
-_HIT = "array<struct<ord:bigint,token_set:double,partial:double>>"
-_HIT_ARROW = pa.struct([("ord", pa.int64()), ("token_set", pa.float64()), ("partial", pa.float64())])
+# Share of the smaller text's letters that any pair without a common word shares whose token-set score is at
+# least 50 or whose partial score is at least 65.  The least case is a stretch cut off at an end of the text.
+LETTER_SHARE = 0.48
 
 
 def core_tokens(target_name: Column) -> Column:
@@ -41,8 +36,12 @@ def core_tokens(target_name: Column) -> Column:
 
 def core_token_match(text: Column, target_name: Column) -> Column:
     """Whether one of the target's token sets is contained in the alias-expanded text."""
-    have = tokens(F.lower(expand_aliases(text)))
-    return F.exists(core_tokens(target_name), lambda s: F.size(F.array_except(s, have)) == 0)
+    return _holds_core(recall_text(text), target_name)
+
+
+def _holds_core(recalled: Column, target_name: Column) -> Column:
+    return let(tokens(recalled), lambda have: F.exists(
+        core_tokens(target_name), lambda s: F.size(F.array_except(s, have)) == 0))
 
 
 def recall_text(col: Column) -> Column:
@@ -52,139 +51,72 @@ def recall_text(col: Column) -> Column:
 def eligible_pairs(listings: DataFrame, cat: DataFrame, keep: list[str]) -> DataFrame:
     """Listing x target, limited to ``eligible_target_names``; null means every target.
 
-    Names are exploded and equi-joined.  "Every target" explodes the catalog's names, which
-    enter the plan in bounded blocks.
+    Names are exploded and equi-joined.  Listings open to every target meet the catalog in parts, so that
+    neither side is held whole by a task.
     """
     cat = distinct_items(cat)
     limited = F.col("eligible_target_names").isNotNull()
-    wanted = listings.filter(limited).select(
+    named = listings.filter(limited).select(
         *keep, F.explode(F.array_distinct("eligible_target_names")).alias("item_name")
-    )
-    for block in name_blocks(cat):
-        names = F.from_json(F.lit(json.dumps([n for _, n in block])), "array<string>")
-        wanted = wanted.unionByName(
-            listings.filter(~limited).select(*keep, F.explode(names).alias("item_name"))
-        )
-    return wanted.join(cat, "item_name")
+    ).join(cat, "item_name")
+    opened = listings.filter(~limited).select(*keep).withColumn(
+        "_part", part_of(*[F.col(f"`{c}`") for c in keep])
+    ).join(every_part(cat), "_part").drop("_part")
+    return named.unionByName(opened)
 
 
-def _hit_scanner(block: list[tuple[int, str, bool, str]]) -> Callable[[Column, Column], Column]:
-    """Scores a text against a bounded block of targets and returns only those it recalls.
+def _measured(df: DataFrame, text: str) -> DataFrame:
+    """Adds the letters of a text and the size that bounds what a similar text must share."""
+    size = F.length(F.array_join(F.array_distinct(words(F.col(text))), " "))
+    return df.withColumns({"letters": letter_tokens(F.col(text)), "size": size})
 
-    ``scope`` limits the targets: 'all', 'bundle' (bundle check allowed) or 'single'.
-    A row is (position, recall text, bundle check allowed, item name).
-    """
-    scopes = {
-        "all": block,
-        "bundle": [t for t in block if t[2]],
-        "single": [t for t in block if not t[2]],
-    }
-    cores = {t[0]: [frozenset(s) for s in R.CORE_TOKENS.get(t[3], [])] for t in block}
-
-    def score(keys: list[tuple[str, str]]) -> list[list[dict]]:
-        pairs = [(text, t[1]) for text, scope in keys for t in scopes[scope]]
-        if not pairs:
-            return [[] for _ in keys]
-        sets, parts = token_set_scores(pairs), partial_scores(pairs)
-        hit = (sets >= R.TOKEN_SET_MIN) | (parts >= R.PARTIAL_MIN)
-        out, at = [], 0
-        for text, scope in keys:
-            targets = scopes[scope]
-            row = hit[at : at + len(targets)].copy()
-            if any(cores[t[0]] for t in targets):
-                have = _ascii_tokens(text)
-                row |= np.array([any(c <= have for c in cores[t[0]]) for t in targets])
-            out.append([
-                {"ord": targets[i][0], "token_set": sets[at + i], "partial": parts[at + i]}
-                for i in np.flatnonzero(row)
-            ])
-            at += len(targets)
-        return out
-
-    @F.arrow_udf(_HIT)
-    def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        remembered: OrderedDict[tuple[str, str], list[dict]] = OrderedDict()
-        for text, scope in batches:
-            keys = list(zip(text.to_pylist(), scope.to_pylist()))
-            slots: dict[tuple[str, str], int] = {}
-            order = np.fromiter((slots.setdefault(k, len(slots)) for k in keys), np.int64, len(keys))
-            new = [k for k in slots if k not in remembered]
-            remembered.update(zip(new, score(new)))
-            hits = pa.array([remembered[k] for k in slots], pa.list_(_HIT_ARROW))
-            yield hits.take(pa.array(order))
-            while len(remembered) > REMEMBERED_TEXTS:
-                remembered.popitem(last=False)
-
-    return scan
-
-
-def _ascii_tokens(text: str) -> set[str]:
-    words, current = set(), []
-    for ch in text + " ":
-        if "a" <= ch <= "z" or "0" <= ch <= "9":
-            current.append(ch)
-        elif current:
-            words.add("".join(current))
-            current = []
-    return words
-
-
-def _target_blocks(cat: DataFrame) -> Iterator[list[tuple[int, str, bool, str]]]:
-    fields = cat.select(
-        "ord", recall_text(F.col("item_name")).alias("text"), "allow_bundle_check", "item_name"
-    )
-    for rows in ord_blocks(fields):
-        yield [tuple(r) for r in rows]
 
+def recalled_pairs(pairs: DataFrame) -> DataFrame:
+    """(_text, item_name, token_set, partial) of the pairs that recall accepts; ``pairs`` has _name too."""
+    scored = pairs.withColumn("token_set", token_set_ratio(F.col("_text"), F.col("_name"))).withColumn(
+        "partial", partial_ratio(F.col("_text"), F.col("_name")))
+    # The one-element explode keeps the scores from being computed again for the filter.
+    kept = F.filter(F.array(F.struct("token_set", "partial")), lambda s: (
+        (s["token_set"] >= R.TOKEN_SET_MIN) | (s["partial"] >= R.PARTIAL_MIN)
+        | _holds_core(F.col("_text"), F.col("item_name"))))
+    return scored.select("_text", "item_name", F.explode(kept).alias("_s")).select("_text", "item_name", "_s.*")
 
-def recall_hits(texts: DataFrame, cat: DataFrame, text: str, scope: str) -> DataFrame:
-    """Adds one row per recalled target: ``ord``, ``token_set``, ``partial``.
 
-    A map-side scan: texts are neither shuffled nor paired, so a title shared by a third of all
-    listings is no hot spot.  A catalog beyond one bounded block is scanned block by block.
+def similar_pairs(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (_text, item_name, _name) that recall can accept, of ``texts`` (_text) and every name.
+
+    Texts meet the names that they share a word with, those that they share many letters with, and those
+    whose core tokens they hold, in three equi-joins.
     """
-    parts = [
-        texts.withColumn("_hit", F.explode(_hit_scanner(block)(F.col(text), F.col(scope))))
-        for block in _target_blocks(cat)
-    ]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.select(
-        *texts.columns, F.col("_hit.ord").alias("ord"), F.col("_hit.token_set").alias("token_set"),
-        F.col("_hit.partial").alias("partial"),
-    )
+    texts = over_all_tasks(texts.distinct(), "_text")
+    columns = ["_text", "item_name", "_name"]
+    part = part_of(F.col("_text"))
+    worded = texts.withColumns({"_token": F.explode(F.array_distinct(words(F.col("_text")))), "_part": part}).join(
+        every_part(names.withColumn("_token", F.explode(F.array_distinct(words(F.col("_name")))))), ["_token", "_part"])
+    core = names.withColumn("_set", F.explode(core_tokens(F.col("item_name")))).withColumn("_token", F.get("_set", F.lit(0)))
+    held = texts.withColumn("_have", tokens(F.col("_text"))).withColumns({"_token": F.explode("_have"), "_part": part}).join(
+        every_part(core), ["_token", "_part"]).filter(F.size(F.array_except("_set", "_have")) == 0)
+    near = letter_pairs(_measured(texts, "_text"), _measured(names, "_name"), LETTER_SHARE)
+    found = near.select(*columns).unionByName(worded.select(*columns)).unionByName(held.select(*columns))
+    return over_all_tasks(found, *columns).distinct()
 
 
-def find_candidates(listings: DataFrame, cat: DataFrame, keep: list[str]) -> DataFrame:
-    """Candidate pairs with effective price, lexical score and price flag.
+_POST = ["_title", "_description"]
 
-    ``listings`` needs title, description and price; ``eligible_target_names`` is honoured when
-    present.  ``keep`` names the listing columns to carry along.
+
+def read_posts(posts: DataFrame) -> DataFrame:
+    """What each distinct (_title, _description) says by itself, one row for each way of reading it.
+
+    _accessory, _packaging and _amounts belong to the post, _scope and _text to the reading.  A post with bundle
+    cues is read with its description by bundle targets only, and amounts are never taken from the
+    description of a post that lists several items.
     """
-    cat = cat.filter(F.trim(F.coalesce("item_name", F.lit(""))) != "")
-    title, description = text_or_empty(F.col("title")), text_or_empty(F.col("description"))
-    kept = list(dict.fromkeys([*keep, "title", "description", "price"]))
-    if "eligible_target_names" in listings.columns and "eligible_target_names" not in kept:
-        kept.append("eligible_target_names")
-    top_price = cat.agg(F.max("deal_price")).first()[0]
-    flagged = (
-        listings.select(*kept)
-        .filter(below_ceiling(F.col("price"), F.lit(top_price)))
-        .withColumns({
-            "_accessory": hardware_accessory(title, description),
-            "_packaging": packaging_only(title, description),
-            "_cues": has_bundle_cues(title, description),
-        })
-        .filter(~(F.col("_accessory") & F.col("_packaging")))
-        # Amounts in the text do not depend on the target: read them once per listing, and
-        # never from the description of a post that lists several items.
-        .withColumn("_amounts", F.when(
-            needs_recovery(F.col("price"), F.lit(top_price)),
-            quoted_amounts(title, F.when(F.col("_cues"), F.lit("")).otherwise(description)),
-        ))
-    )
-    # A listing with bundle cues is read with its description by bundle targets only.
+    title, description = F.col("_title"), F.col("_description")
+    flagged = posts.withColumns({
+        "_accessory": hardware_accessory(title, description),
+        "_packaging": packaging_only(title, description),
+        "_cues": has_bundle_cues(title, description),
+    }).filter(~(F.col("_accessory") & F.col("_packaging")))
     scopes = F.when(
         F.col("_cues"),
         F.array(
@@ -195,39 +127,76 @@ def find_candidates(listings: DataFrame, cat: DataFrame, keep: list[str]) -> Dat
             ),
         ),
     ).otherwise(F.array(F.struct(title.alias("text"), F.lit("all").alias("scope"))))
-    texts = flagged.withColumn("_read", F.explode(scopes)).select(
-        *flagged.columns, recall_text(F.col("_read.text")).alias("_text"),
-        F.col("_read.scope").alias("_scope"),
-    )
-    targets = cat.select("ord", "item_name", "target_type", "deal_price")
-    texts = texts.drop("title", "description") if not {"title", "description"} & set(keep) else texts
-    hits = recall_hits(texts, cat, "_text", "_scope").drop("_text")
-    pairs = hits.join(targets, "ord")
-    pairs = pairs.filter(
-        F.when(F.col("target_type") == "Game", ~F.col("_packaging")).otherwise(~F.col("_accessory"))
-        & below_ceiling(F.col("price"), F.col("deal_price"))
+    amounts = quoted_amounts(title, F.when(F.col("_cues"), F.lit("")).otherwise(description)).cast(
+        "struct<short:array<double>,marked:array<double>>")  # names of a lambda's struct do not outlive its plan
+    return flagged.withColumns({"_amounts": amounts, "_read": F.explode(scopes)}).select(
+        *posts.columns, "_accessory", "_packaging", "_amounts", F.col("_read.scope").alias("_scope"),
+        recall_text(F.col("_read.text")).alias("_text"),
     )
-    if "eligible_target_names" in kept:
-        pairs = pairs.filter(
-            F.col("eligible_target_names").isNull()
-            | F.array_contains("eligible_target_names", F.col("item_name"))
+
+
+def post_hits(reads: DataFrame, recalled: DataFrame, cat: DataFrame) -> DataFrame:
+    """Posts times the targets that one of their readings recalls and that their kind allows."""
+    targets = cat.select("ord", "item_name", "target_type", "deal_price", "allow_bundle_check")
+    return (
+        reads.withColumn("_part", part_of(*[F.col(c) for c in _POST]))
+        .join(every_part(recalled), [*(c for c in recalled.columns if c in reads.columns), "_part"])
+        .join(targets, "item_name")
+        .filter(
+            ((F.col("_scope") == "all") | ((F.col("_scope") == "bundle") == F.col("allow_bundle_check")))
+            & F.when(F.col("target_type") == "Game", ~F.col("_packaging")).otherwise(~F.col("_accessory"))
         )
-    bundle = F.col("_scope") == "bundle"
+        .select(*_POST, "ord", "item_name", "deal_price", "token_set", "partial", "_amounts",
+                (F.col("_scope") == "bundle").alias("_bundle"))
+    )
+
+
+def find_candidates(listings: DataFrame, cat: DataFrame, keep: list[str]) -> DataFrame:
+    """Candidate pairs with effective price, lexical score and price flag.
+
+    ``listings`` needs title, description and price; ``keep`` names the listing columns to carry along.
+    Distinct posts are read once, into a checkpoint that four joins use.  Eligibility comes before scores:
+    a listing with ``eligible_target_names`` meets only those, in an equi-join; one without, or with null,
+    meets the catalog in a similarity join.  Distinct (text, name) pairs are scored and joined back, in parts, so
+    that a post shared by a third of all listings is no hot spot.
+    """
+    cat = cat.filter(F.trim(F.coalesce("item_name", F.lit(""))) != "")
+    names = distinct_items(cat).select("item_name", recall_text(F.col("item_name")).alias("_name"))
+    kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    limit = F.col("eligible_target_names") if "eligible_target_names" in listings.columns else F.lit(None).cast("array<string>")
+    rows = listings.filter(below_ceiling(F.col("price"), cat.agg(F.max("deal_price")).scalar())).select(
+        *kept, F.col("price").cast("double").alias("_price"), text_or_empty(F.col("title")).alias("_title"),
+        text_or_empty(F.col("description")).alias("_description"), limit.alias("_eligible"))
+    opened, limited = rows.filter("_eligible IS NULL"), rows.filter("_eligible IS NOT NULL")
+    posts = rows.groupBy(*_POST).agg(F.bool_or(F.col("_eligible").isNull()).alias("_open"))
+    reads = cut_lineage(read_posts(over_all_tasks(posts, *_POST)))
+    any_target = recalled_pairs(similar_pairs(reads.filter("_open").select("_text"), names))
+    hits = post_hits(reads.filter("_open").drop("_open"), any_target, cat)
+
+    def spread(side: DataFrame) -> DataFrame:
+        return side.drop("_eligible").withColumn("_part", part_of(*[F.col(c) for c in side.columns if c != "_eligible"]))
+
+    pairs = spread(opened).join(every_part(hits), [*_POST, "_part"])
+    if "eligible_target_names" in listings.columns:
+        named = limited.withColumn("item_name", F.explode(F.array_distinct("_eligible")))
+        asked = reads.drop("_open").join(named.select(*_POST, "item_name").distinct(), _POST)
+        wanted = over_all_tasks(asked.select("_text", "item_name").distinct(), "_text", "item_name")
+        few = post_hits(asked, recalled_pairs(wanted.join(names, "item_name")), cat)
+        pairs = pairs.unionByName(spread(named).join(every_part(few), [*_POST, "item_name", "_part"]))
+    pairs = pairs.filter(below_ceiling(F.col("_price"), F.col("deal_price")))
     triaged = F.when(
-        bundle,
+        F.col("_bundle"),
         F.struct(
-            F.coalesce("price", F.lit(0.0)).cast("double").alias("price"),
+            F.coalesce("_price", F.lit(0.0)).alias("price"),
             F.lit("bundle_candidate").alias("flag"),
         ),
-    ).otherwise(
-        triage_amounts(F.col("price").cast("double"), F.col("_amounts"), F.col("deal_price"))
-    )
+    ).otherwise(triage_amounts(F.col("_price"), F.col("_amounts"), F.col("deal_price")))
     # The one-element explode computes the triage once for the filter and the output.
     usable = F.filter(F.array(triaged), lambda t: (t["flag"] == "bundle_candidate") | price_eligible(
         t["price"], F.col("deal_price"), t["flag"]
     ))
     return pairs.withColumn("_triage", F.explode(usable)).select(
-        *keep, "ord", "item_name", "deal_price",
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "ord", "item_name", "deal_price",
         F.coalesce("_triage.price", F.lit(0.0)).alias("effective_price"),
         F.greatest("token_set", "partial").alias("lexical_score"),
         F.col("_triage.flag").alias("price_flag"),

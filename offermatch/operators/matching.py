@@ -12,11 +12,11 @@ from offermatch.functions.similarity import word_set_ratio
 from offermatch.functions.text import (
     default_process, extract_freebies, override_condition, tokens, words,
 )
+from offermatch.operators.pairs import every_part, part_of
 from offermatch.operators.variants import (
     distinct_items, group_families, variant_compatible, variant_profile,
 )
 
-SALTS = 8  # parts that a common anchor or title is split into
 _ANY = "*"
 
 
@@ -70,15 +70,6 @@ def _with_accessory_flags(listings: DataFrame) -> DataFrame:
     })
 
 
-def _every_part(df: DataFrame) -> DataFrame:
-    """The side that is repeated for each part; it has one row per target or per title."""
-    return df.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-
-
-def _part(*of: Column) -> Column:
-    return F.pmod(F.hash(*of), F.lit(SALTS))
-
-
 def best_match(listings: DataFrame, cat: DataFrame, above: float = R.BEST_MATCH_ABOVE,
                families: DataFrame | None = None, distinct: bool = False) -> DataFrame:
     """Listings that have a compatible target scoring above the threshold, with item and score.
@@ -96,8 +87,8 @@ def best_match(listings: DataFrame, cat: DataFrame, above: float = R.BEST_MATCH_
     })
     pairs = (
         texts.withColumn("anchor", F.explode(F.concat(F.col("_tokens"), F.array(F.lit(_ANY)))))
-        .withColumn("_part", _part(F.col("title")))
-        .join(_every_part(profile), ["anchor", "_part"])
+        .withColumn("_part", part_of(F.col("title")))
+        .join(every_part(profile), ["anchor", "_part"])
         .filter(_allowed(F.col("target_type")) & variant_compatible(
             F.col("_tokens"), F.col("required_tokens"), F.col("own_tokens"),
             F.col("sibling_tokens"),
@@ -107,8 +98,8 @@ def best_match(listings: DataFrame, cat: DataFrame, above: float = R.BEST_MATCH_
         word_set_ratio(F.col("_words"), F.col("words")).alias("score"),
         (-F.col("ord")).alias("tie"), F.col("item_name").alias("item"),
     )).alias("_best"))
-    spread_rows = rows.withColumn("_part", _part(*[F.col(f"`{c}`") for c in listings.columns]))
-    matched = spread_rows.join(_every_part(best.filter(F.col("_best.score") > above)), [*key, "_part"])
+    spread_rows = rows.withColumn("_part", part_of(*[F.col(f"`{c}`") for c in listings.columns]))
+    matched = spread_rows.join(every_part(best.filter(F.col("_best.score") > above)), [*key, "_part"])
     return matched.select(
         *listings.columns, F.col("_best.item").alias("matched_item"),
         F.col("_best.score").alias("match_score"),

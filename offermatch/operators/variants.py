@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from offermatch import rules as R
-from offermatch.functions.fuzzy import token_sort_scores
-from offermatch.functions.text import tokens
-from offermatch.session import BOUNDED_ROWS, cut_lineage
-
-# Edges that may be decided in one place; two longs each.
-BOUNDED_EDGES = 200_000
+from offermatch.functions.similarity import ratio
+from offermatch.functions.text import tokens, words
+from offermatch.operators.pairs import letter_pairs, letter_tokens
+from offermatch.session import cut_lineage
 
 
 def distinct_items(cat: DataFrame) -> DataFrame:
@@ -29,132 +23,54 @@ def distinct_items(cat: DataFrame) -> DataFrame:
     )
 
 
-def bounded_rows(df: DataFrame, size: int = BOUNDED_ROWS) -> list[Row] | None:
-    """The rows of a small table, or None as soon as there are more than ``size``."""
-    rows = df.limit(size + 1).collect()
-    return rows if len(rows) <= size else None
-
-
-def ord_blocks(df: DataFrame, size: int = BOUNDED_ROWS) -> Iterator[list[Row]]:
-    """The rows of a reference table in blocks that every task may hold, by position range."""
-    rows = bounded_rows(df, size)
-    if rows is not None:
-        yield rows
-        return
-    low, high = df.agg(F.min("ord"), F.max("ord")).first()
-    for start in range(low, high + 1, size):
-        rows = df.filter(F.col("ord").between(start, start + size - 1)).collect()
-        if rows:
-            yield rows
-
-
-def name_blocks(items: DataFrame, size: int = BOUNDED_ROWS) -> Iterator[list[tuple[int, str]]]:
-    for rows in ord_blocks(items.select("ord", "item_name"), size):
-        yield [(r.ord, r.item_name) for r in rows]
-
-
-def _later_neighbours(block: list[tuple[int, str]], threshold: float):
-    block = [(o, n.lower()) for o, n in block]
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def later_neighbours(at: pd.Series, name: pd.Series) -> pd.Series:
-        found = []
-        for own, text in zip(at, name.str.lower()):
-            later = [(o, n) for o, n in block if o > own]
-            scores = token_sort_scores([(text, n) for _, n in later])
-            found.append([o for (o, _), s in zip(later, scores) if s >= threshold])
-        return pd.Series(found, dtype="object")
+def family_edges(items: DataFrame, threshold: float = R.FAMILY_MIN) -> DataFrame:
+    """(earlier, later) catalog positions whose sorted-token ratio reaches the bound.
 
-    return later_neighbours
+    A ratio of r needs r hundredths of the shorter name's letters in common, so the pairs come from a
+    similarity join on letters, for a catalog of any size.
+    """
+    named = items.select("ord", F.array_join(F.array_sort(words(F.lower("item_name"))), " ").alias("sorted"))
+    measured = named.withColumns({"letters": letter_tokens(F.col("sorted")), "size": F.length("sorted")})
+    other = measured.withColumnsRenamed({"ord": "ord2", "sorted": "sorted2"})
+    pairs = letter_pairs(measured, other, threshold / 100).filter("ord < ord2")
+    return pairs.filter(ratio(F.col("sorted"), F.col("sorted2")) >= threshold).select(
+        F.col("ord").alias("earlier"), F.col("ord2").alias("later"))
 
 
-def family_edges(items: DataFrame, threshold: float = R.FAMILY_MIN,
-                 block: list[tuple[int, str]] | None = None) -> DataFrame:
-    """(earlier, later) catalog positions whose sorted-token ratio reaches the bound.
+def claimed_names(edges: DataFrame) -> DataFrame:
+    """(ord) of the names that do not lead a family.
 
-    Every task scores its own names against one bounded block and emits only the edges.
+    A name leads once no earlier neighbour is open; its later neighbours are claimed.  Each round decides
+    every name without an open earlier neighbour, and only edges between open names go on.
     """
-    parts = [
-        items.select(
-            F.col("ord").alias("earlier"),
-            F.explode(_later_neighbours(names, threshold)("ord", "item_name")).alias("later"),
-        )
-        for names in ([block] if block is not None else name_blocks(items))
-    ]
-    edges = parts[0]
-    for part in parts[1:]:
-        edges = edges.unionByName(part)
-    return edges
-
-
-def _greedy(ords: list[int], edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    neighbours: dict[int, list[int]] = {}
-    for earlier, later in edges:
-        neighbours.setdefault(earlier, []).append(later)
-    leader: dict[int, int] = {}
-    for o in ords:
-        if leader.setdefault(o, o) == o:
-            for n in neighbours.get(o, []):
-                leader.setdefault(n, o)
-    return list(leader.items())
-
-
-def _leader_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Leaders of the greedy grouping by repeated joins.
-
-    A node leads once every earlier neighbour is known to follow; it follows once an earlier
-    neighbour leads.  Each round decides at least the first open node, usually most of them.
-    """
-    state = cut_lineage(nodes.select("ord", F.lit(None).cast("boolean").alias("leads")))
-    edges = cut_lineage(edges)
-    while state.filter("leads IS NULL").limit(1).count():
-        seen = (
-            edges.join(state.withColumnRenamed("ord", "earlier"), "earlier")
-            .groupBy(F.col("later").alias("ord"))
-            .agg(
-                F.coalesce(F.bool_or("leads"), F.lit(False)).alias("claimed"),
-                F.bool_or(F.col("leads").isNull()).alias("open"),
-            )
-        )
-        state = cut_lineage(
-            state.join(seen, "ord", "left").select(
-                "ord",
-                F.coalesce(
-                    "leads",
-                    F.when(F.col("claimed"), F.lit(False))
-                    .when(~F.coalesce("open", F.lit(False)), F.lit(True)),
-                ).alias("leads"),
-            )
+    claimed = None
+    frontier = cut_lineage(edges.select("earlier", "later"))
+    while frontier.take(1):
+        waiting = frontier.select(F.col("later").alias("earlier")).distinct().withColumn("waits", F.lit(True))
+        marked = frontier.join(waiting, "earlier", "left")
+        taken = marked.filter("waits IS NULL").select("later").distinct()
+        decided = cut_lineage(
+            marked.join(taken.withColumn("taken", F.lit(True)), "later", "left")
+            .join(taken.select(F.col("later").alias("earlier"), F.lit(True).alias("gone")), "earlier", "left")
         )
-    leaders = state.filter("leads").select(F.col("ord").alias("earlier"))
-    followed = (
-        edges.join(leaders, "earlier").groupBy(F.col("later").alias("ord"))
-        .agg(F.min("earlier").alias("leader"))
-    )
-    return state.join(followed, "ord", "left").select(
-        "ord", F.when(F.col("leads"), F.col("ord")).otherwise(F.col("leader")).alias("leader")
-    )
+        found = decided.filter("waits IS NULL").select(F.col("later").alias("ord")).distinct()
+        claimed = found if claimed is None else claimed.unionByName(found)
+        frontier = decided.filter("waits AND taken IS NULL AND gone IS NULL").select("earlier", "later")
+    return edges.select(F.col("later").alias("ord")).limit(0) if claimed is None else claimed
 
 
-def group_families(cat: DataFrame, threshold: float = R.FAMILY_MIN,
-                   bounded_edges: int = BOUNDED_EDGES) -> DataFrame:
+def group_families(cat: DataFrame, threshold: float = R.FAMILY_MIN) -> DataFrame:
     """(ord, item_name, leader): in catalog order an unclaimed name claims all similar later ones."""
-    spark = cat.sparkSession
     named = cat.filter(F.trim(F.coalesce("item_name", F.lit(""))) != "")
     items = named.groupBy("item_name").agg(F.min("ord").alias("ord"))
-    rows = bounded_rows(items)
-    if rows is None:
-        return items.join(_leader_rounds(items, family_edges(items, threshold)), "ord")
-    names = {r.ord: r.item_name for r in sorted(rows, key=lambda r: r.ord)}
-    local = spark.createDataFrame(list(names.items()), "ord long, item_name string").coalesce(1)
-    edges = family_edges(local, threshold, list(names.items()))
-    found = bounded_rows(edges, bounded_edges)
-    if found is None:
-        return local.join(_leader_rounds(local, edges), "ord")
-    pairs = _greedy(list(names), sorted((e.earlier, e.later) for e in found))
-    return spark.createDataFrame(
-        [(o, names[o], lead) for o, lead in pairs], "ord long, item_name string, leader long"
-    ).coalesce(1)
+    edges = cut_lineage(family_edges(items, threshold))
+    claimed = claimed_names(edges)
+    followed = (
+        edges.join(claimed.select(F.col("ord").alias("earlier")), "earlier", "left_anti")
+        .join(claimed.select(F.col("ord").alias("later")), "later", "left_semi")
+        .groupBy(F.col("later").alias("ord")).agg(F.min("earlier").alias("leader"))
+    )
+    return items.join(followed, "ord", "left").select("ord", "item_name", F.coalesce("leader", "ord").alias("leader"))
 
 
 def variant_tokens(families: DataFrame) -> DataFrame:

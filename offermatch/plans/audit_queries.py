@@ -10,24 +10,23 @@ from offermatch import rules as R
 
 from offermatch.operators import audits as A, deals as D
 from offermatch.plans import cascade as P
-from offermatch.plans.match_queries import DEALS
-from offermatch.plans.registry import CATALOG, LISTINGS, query
-from offermatch.plans.text_queries import override_sql
-from offermatch.session import cut_lineage
+from offermatch.plans.match_queries import BEST, CANDIDATES, COMPATIBLE, DEALS, FAMILIES_ON
+from offermatch.plans.registry import CATALOG, LISTINGS, query, tokens_sql
+from offermatch.plans.text_queries import BLOCK, BLOCK_CLEAN, override_sql
 from offermatch.sources import bridge
 from offermatch.sources.bridge import LISTING_ORDER, table
 
 KEY = ", ".join(LISTING_ORDER)
 
 # Candidates: every listing with its own part name; repeated ids keep their first row.
-CANDS = f"""{LISTINGS}, {CATALOG},
-pairs AS (SELECT l.*, p_name AS item_name, CASE WHEN l_linenumber % 7 = 5 AND price > 0 THEN 'bundle_candidate'
+CANDS_ON = f"""pairs AS (SELECT l.*, p_name AS item_name, CASE WHEN l_linenumber % 7 = 5 AND price > 0 THEN 'bundle_candidate'
  WHEN price IS NULL OR price <= 0 THEN 'placeholder_zero' ELSE 'normal' END AS price_flag
  FROM listings l JOIN part ON l_partkey = p_partkey),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY {KEY}) AS rn FROM pairs)
  WHERE rn = 1),
 chunks AS (SELECT *, row_number() OVER (ORDER BY {KEY}) AS seq,
  (row_number() OVER (ORDER BY {KEY}) - 1) // 20 + 1 AS chunk_number FROM firsts)"""
+CANDS = f"{LISTINGS}, {CATALOG}, {CANDS_ON}"
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,11 +39,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    firsts = A.dedup_candidates(pairs(spark, sf), LISTING_ORDER)
-    # The request table stands between the two jobs of a real run, so it is materialised here too.
-    return cut_lineage(
-        A.chunk_candidates(firsts, LISTING_ORDER, bucket=F.floor(F.col("l_orderkey") / 4096))
-    )
+    return A.chunk_candidates(A.dedup_candidates(pairs(spark, sf), LISTING_ORDER), LISTING_ORDER)
 
 
 # Item kinds by position: 0 good, 1-4 and 10-11 invalid, 5 unknown id, 6 invalid then good,
@@ -80,7 +75,7 @@ ITEMS = f"""CASE seq % 12
 
 
 def responses(rows: DataFrame) -> DataFrame:
-    """One response per chunk: plain, fenced, inside other text, an HTTP error, or not JSON."""
+    """One response per chunk: plain, fenced, inside other text, an HTTP error, not JSON, or no object."""
     items = rows.select("chunk_number", "seq", F.expr(ITEMS).alias("item"))
     joined = items.filter("item <> ''").groupBy("chunk_number").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("seq", "item"))), lambda x: x["item"]
@@ -93,11 +88,12 @@ def responses(rows: DataFrame) -> DataFrame:
         F.when(shape == 3, 4).otherwise(1).alias("attempts"),
         F.when(shape == 0, F.concat(F.lit("```json\n"), doc, F.lit("\n```")))
         .when(shape == 1, F.concat(F.lit("Here: "), doc, F.lit(" Done.")))
-        .when(shape == 3, "").when(shape == 4, "no json {here").otherwise(doc).alias("body"),
+        .when(shape == 3, "").when(shape == 4, "no json {here")
+        .when(shape == 6, F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc).alias("body"),
     )
 
 
-USABLE = "chunk_number % 10 NOT IN (3, 4)"
+USABLE = "chunk_number % 10 NOT IN (3, 4, 6)"
 
 
 @query("dedup_candidates", f"WITH {CANDS} SELECT listing_id, {KEY}, item_name, price_flag FROM firsts")
@@ -107,17 +103,50 @@ def dedup_candidates(spark, sf):
     )
 
 
-@query("allowed_targets_first", f"WITH {CANDS} SELECT listing_id, item_name AS allowed FROM firsts")
+@query("allowed_targets_first", f"WITH {CANDS} SELECT listing_id, item_name AS allowed, false AS open FROM firsts")
 def allowed_first(spark, sf):
-    found = A.allowed_targets(pairs(spark, sf), bridge.catalog(spark, sf), LISTING_ORDER)
-    return found.select("listing_id", F.array_join("allowed", "|").alias("allowed"))
+    found = A.allowed_targets(pairs(spark, sf), LISTING_ORDER)
+    return found.select("listing_id", F.array_join("allowed", "|").alias("allowed"), "open")
 
 
 @query("allowed_targets_all", f"""WITH {CANDS}
-SELECT listing_id, string_agg(DISTINCT item_name, '|' ORDER BY item_name) AS allowed FROM pairs GROUP BY 1""")
+SELECT listing_id, string_agg(DISTINCT item_name, '|' ORDER BY item_name) AS allowed, false AS open FROM pairs GROUP BY 1""")
 def allowed_all(spark, sf):
-    found = A.allowed_targets(pairs(spark, sf), bridge.catalog(spark, sf), LISTING_ORDER, "all")
-    return found.select("listing_id", F.array_join("allowed", "|").alias("allowed"))
+    found = A.allowed_targets(pairs(spark, sf), LISTING_ORDER, "all")
+    return found.select("listing_id", F.array_join("allowed", "|").alias("allowed"), "open")
+
+
+UNNAMED = "l_linenumber % 3 = 2"  # candidates without a target
+
+
+def unnamed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs(spark, sf).withColumn("item_name", F.when(~F.expr(UNNAMED), F.col("item_name")))
+
+
+@query("allowed_targets_open", f"""WITH {CANDS}
+SELECT listing_id, coalesce(string_agg(DISTINCT item_name, '|' ORDER BY item_name) FILTER (NOT {UNNAMED}), '') AS allowed,
+ bool_or({UNNAMED}) AS open FROM pairs GROUP BY 1""")
+def allowed_open(spark, sf):
+    found = A.allowed_targets(unnamed_pairs(spark, sf), LISTING_ORDER, "all")
+    return found.select("listing_id", F.array_join("allowed", "|").alias("allowed"), "open")
+
+
+# What is judged here: the own target, one of the catalog's, or none of it.
+JUDGED = "CASE l_orderkey % 3 WHEN 0 THEN item_name WHEN 1 THEN 'red ring' ELSE 'nothing like it' END"
+
+
+@query("whitelist_open", f"""WITH {CANDS}, judged AS (SELECT listing_id, {JUDGED} AS matched_item, {UNNAMED} AS open, item_name FROM firsts)
+SELECT listing_id, matched_item, CASE WHEN open THEN matched_item IN (SELECT item_name FROM catalog)
+ ELSE matched_item = item_name END AS inside FROM judged""")
+def whitelist_open(spark, sf):
+    """Listings whose candidate names no target may be judged to be any item of the catalog."""
+    judged = A.dedup_candidates(pairs(spark, sf), LISTING_ORDER).select(
+        "listing_id", F.expr(JUDGED).alias("matched_item"), F.lit(1).alias("chunk_number"), F.lit(0).alias("pos"))
+    allowed = A.allowed_targets(unnamed_pairs(spark, sf), LISTING_ORDER)
+    gate = A.whitelist_gate(judged, allowed, bridge.catalog(spark, sf))
+    outside = gate["errors"].select("listing_id").join(judged, "listing_id")
+    return gate["valid"].select("listing_id", "matched_item", F.lit(True).alias("inside")).unionByName(
+        outside.select("listing_id", "matched_item", F.lit(False).alias("inside")))
 
 
 @query("chunk_candidates", f"WITH {CANDS} SELECT listing_id, seq, chunk_number FROM chunks")
@@ -126,35 +155,55 @@ def chunk_candidates(spark, sf):
 
 
 REQUEST = "Catalog: {target_items_json}\nAllowed: {allowed_targets_json}\n{candidate_listings_xml}"
-
-
-@query("audit_requests", f"""WITH {CANDS},
-quoted AS (SELECT chunk_number, string_agg('{{"item_name":' || to_json(c.item_name) || ',"category":' || to_json(category)
+ITEM_JSON = """'{"item_name":' || to_json(c.item_name) || ',"category":' || to_json(category)
  || ',"deal_price":' || to_json(c.deal_price) || ',"retail_price":' || to_json(retail_price) || ',"notes":"","target_type":'
- || to_json(target_type) || ',"allow_bundle_check":' || to_json(allow_bundle_check) || '}}', ',' ORDER BY c.ord) AS items
- FROM (SELECT DISTINCT chunk_number, item_name FROM chunks) JOIN catalog c USING (item_name) GROUP BY 1),
-packed AS (SELECT chunk_number, count(*) AS candidate_count,
- concat('{{', string_agg(concat('"', listing_id, '":["', item_name, '"]'), ',' ORDER BY seq), '}}') AS allowed_targets
- FROM chunks GROUP BY 1)
-SELECT chunk_number, candidate_count, candidate_count AS blocks_found, allowed_targets,
- 'Catalog: [' || items || ']' || chr(10) || 'Allowed: ' || allowed_targets AS opening
-FROM packed JOIN quoted USING (chunk_number)""")
+ || to_json(target_type) || ',"allow_bundle_check":' || to_json(allow_bundle_check) || '}'"""
+
+
+def requests_sql(named: str, opened: str, allowed: str) -> str:
+    """Whole request texts; ``named`` and ``opened`` are conditions on a chunk's rows, ``allowed`` a JSON list."""
+    return f"""WITH {CANDS}, cleaned AS (SELECT *, {BLOCK_CLEAN} FROM chunks),
+blocks AS (SELECT *, {BLOCK} AS block FROM cleaned),
+whole AS (SELECT DISTINCT chunk_number FROM chunks WHERE {opened}),
+wanted AS (SELECT DISTINCT chunk_number, item_name FROM chunks WHERE {named} AND chunk_number NOT IN (SELECT * FROM whole)
+ UNION ALL SELECT chunk_number, item_name FROM whole, catalog),
+quoted AS (SELECT chunk_number, string_agg({ITEM_JSON}, ',' ORDER BY c.ord) AS items
+ FROM wanted JOIN catalog c USING (item_name) GROUP BY 1),
+packed AS (SELECT chunk_number, count(*) AS candidate_count, string_agg(block, chr(10) || chr(10) ORDER BY seq) AS blocks,
+ concat('{{', string_agg(concat('"', listing_id, '":["', {allowed}, '"]'), ',' ORDER BY seq), '}}') AS allowed_targets
+ FROM blocks GROUP BY 1)
+SELECT chunk_number, candidate_count, blocks, allowed_targets,
+ 'Catalog: [' || items || ']' || chr(10) || 'Allowed: ' || allowed_targets || chr(10) || blocks AS request
+FROM packed JOIN quoted USING (chunk_number)"""
+
+
+@query("audit_requests", requests_sql("true", "false", "item_name"))
 def audit_requests(spark, sf):
     cat, rows = bridge.catalog(spark, sf), chunks(spark, sf)
-    made = A.audit_requests(rows, A.allowed_targets(rows, cat, ["seq"]), REQUEST, cat)
-    return made.select(
-        "chunk_number", "candidate_count",
-        F.regexp_count("request", F.lit("<listing_untrusted_data id=")).cast("long").alias("blocks_found"),
-        "allowed_targets", F.concat_ws("\n", F.get(F.split("request", "\n"), F.lit(0)), F.get(F.split("request", "\n"), F.lit(1))).alias("opening"),
-    )
+    return A.audit_requests(rows, A.allowed_targets(rows, ["seq"]), REQUEST, cat)
 
 
-@query("parse_response", f"""WITH {CANDS}
-SELECT DISTINCT chunk_number, {USABLE} AS is_object FROM chunks""")
+@query("audit_requests_open", requests_sql(
+    "true", f"{UNNAMED} AND chunk_number % 4 = 0",
+    f"CASE WHEN {UNNAMED} AND chunk_number % 4 = 0 THEN '*' ELSE item_name END"))
+def audit_requests_open(spark, sf):
+    """A quarter of the chunks has listings without a target and quotes the whole catalog."""
+    cat, rows = bridge.catalog(spark, sf), chunks(spark, sf)
+    opened = F.expr(UNNAMED) & (F.col("chunk_number") % 4 == 0)
+    named = rows.withColumn("item_name", F.when(~opened, F.col("item_name")))
+    return A.audit_requests(rows, A.allowed_targets(named, ["seq"]), REQUEST, cat)
+
+
+@query("parse_response", f"""WITH {CANDS}, shown AS (SELECT chunk_number, string_agg(CASE seq % 12 WHEN 5 THEN listing_id || '-x'
+ WHEN 9 THEN NULL WHEN 6 THEN listing_id || ',' || listing_id WHEN 7 THEN listing_id || ',' || listing_id ELSE listing_id END,
+ ',' ORDER BY seq) AS ids FROM chunks GROUP BY 1)
+SELECT chunk_number, {USABLE} AS is_object, CASE WHEN {USABLE} THEN ids END AS ids FROM shown""")
 def parse_response(spark, sf):
-    return responses(chunks(spark, sf)).select(
-        "chunk_number", A.parse_response(F.col("body")).isNotNull().alias("is_object")
-    )
+    """The ids in each parsed response, in order, stand for its content."""
+    parsed = responses(chunks(spark, sf)).withColumn("_p", F.explode(F.array(A.parse_response(F.col("body")))))
+    items = F.try_variant_get("_p", "$.audits", "array<variant>")
+    return parsed.select("chunk_number", F.col("_p").isNotNull().alias("is_object"), F.array_join(
+        F.transform(items, lambda i: F.try_variant_get(i, "$.id", "string")), ",").alias("ids"))
 
 
 EXPLODED = f"""good AS (SELECT chunk_number, seq, listing_id, item_name, 60 + seq % 41 AS confidence, seq % 12 AS kind
@@ -162,10 +211,10 @@ EXPLODED = f"""good AS (SELECT chunk_number, seq, listing_id, item_name, 60 + se
 items AS (
  SELECT chunk_number, seq, 0 AS sub, CASE WHEN kind = 5 THEN concat(listing_id, '-x') ELSE listing_id END AS listing_id,
   CASE WHEN kind = 8 THEN 'nothing like it' ELSE item_name END AS matched_item, kind = 11 AS bundle,
-  CASE kind WHEN 1 THEN 'confidence must be an integer' WHEN 2 THEN 'confidence must be an integer'
-   WHEN 3 THEN 'confidence out of range [0, 100]' WHEN 4 THEN 'specs_matched must be a boolean'
-   WHEN 6 THEN 'is_bundle must be a boolean' WHEN 10 THEN 'non-bundle audit cannot contain split-price decisions'
-   WHEN 11 THEN 'price_evidence must be a non-empty excerpt (max 800) or null' ELSE '' END AS problem
+  CASE kind WHEN 1 THEN 'confidence: not a whole number' WHEN 2 THEN 'confidence: not a whole number'
+   WHEN 3 THEN 'confidence: outside 0 to 100' WHEN 4 THEN 'specs_matched: not true or false'
+   WHEN 6 THEN 'is_bundle: not true or false' WHEN 10 THEN 'split price without a bundle'
+   WHEN 11 THEN 'price_evidence: neither null nor a quote of 1 to 800 letters' ELSE '' END AS problem
  FROM good WHERE kind <> 9
  UNION ALL SELECT chunk_number, seq, 1, listing_id, item_name, false, '' FROM good WHERE kind IN (6, 7)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY chunk_number ORDER BY seq, sub) - 1 AS pos FROM items),
@@ -176,7 +225,7 @@ valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id OR
 
 def exploded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = chunks(spark, sf)
-    return cut_lineage(A.explode_audits(responses(rows))), rows
+    return A.explode_audits(responses(rows)), rows
 
 
 @query("explode_audits", f"""WITH {CANDS}, {EXPLODED}
@@ -225,7 +274,7 @@ def reconcile_unknown(spark, sf):
 def gated(spark: SparkSession, sf: str):
     audits, rows = exploded(spark, sf)
     parts = A.reconcile_audits(audits, rows)
-    gate = A.whitelist_gate(parts["valid"], A.allowed_targets(rows, bridge.catalog(spark, sf), ["seq"]))
+    gate = A.whitelist_gate(parts["valid"], A.allowed_targets(rows, ["seq"]), bridge.catalog(spark, sf))
     return rows, parts, gate
 
 
@@ -241,25 +290,33 @@ def whitelist_errors(spark, sf):
     return gated(spark, sf)[2]["errors"].select("chunk_number", "listing_id")
 
 
-@query("route_fallback", f"""WITH {CANDS}, {EXPLODED}
-SELECT chunk_number, listing_id, seq FROM chunks WHERE listing_id NOT IN
- (SELECT listing_id FROM valid WHERE matched_item <> 'nothing like it')""")
-def route_fallback(spark, sf):
+ROUTED = "listing_id NOT IN (SELECT listing_id FROM valid WHERE matched_item <> 'nothing like it')"
+
+
+def routed(spark: SparkSession, sf: str) -> DataFrame:
     rows, parts, gate = gated(spark, sf)
     failed = A.chunk_summary(rows, responses(rows)).filter(~F.col("succeeded"))
-    routed = A.route_fallback(rows, failed, parts["missing"], gate["errors"])
-    return routed.select("chunk_number", "listing_id", "seq")
+    return A.route_fallback(rows, failed, parts["missing"], gate["errors"])
+
 
+@query("route_fallback", f"""WITH {CANDS}, {EXPLODED}
+SELECT chunk_number, listing_id, seq FROM chunks WHERE {ROUTED}""")
+def route_fallback(spark, sf):
+    return routed(spark, sf).select("chunk_number", "listing_id", "seq")
 
-@query("fallback_deals", f"""WITH RECURSIVE {DEALS}
-SELECT {KEY}, matched_item, match_score AS local_match_score, savings, 'local_fallback' AS audit_source FROM deals""")
+
+@query("fallback_deals", f"""WITH RECURSIVE {DEALS}, {CANDS_ON}, {EXPLODED}
+SELECT listing_id, {KEY}, d.matched_item, match_score AS local_match_score, savings, 'local_fallback' AS audit_source,
+ '{R.REASON_ROUTED}' AS acceptance_reason
+FROM deals d JOIN (SELECT listing_id, {KEY} FROM chunks WHERE {ROUTED}) USING (listing_id, {KEY})""")
 def fallback_deals(spark, sf):
-    routed = bridge.listings(spark, sf).withColumns({
-        "effective_price": F.col("price"), "item_name": F.lit(""), "ord": F.lit(0),
-        "deal_price": F.lit(0.0), "lexical_score": F.lit(0.0),
+    """Local matches of the candidates that the audit could not judge."""
+    rows = routed(spark, sf).withColumns({
+        "effective_price": F.col("price"), "ord": F.lit(0), "deal_price": F.lit(0.0), "lexical_score": F.lit(0.0),
+        "price_flag": F.lit("normal"),
     })
-    return P.fallback_deals(routed, bridge.catalog(spark, sf)).select(
-        *LISTING_ORDER, "matched_item", "local_match_score", "savings", "audit_source"
+    return P.fallback_deals(rows, bridge.catalog(spark, sf)).select(
+        "listing_id", *LISTING_ORDER, "matched_item", "local_match_score", "savings", "audit_source", "acceptance_reason"
     )
 
 
@@ -267,7 +324,8 @@ SUMMARY = f"""summary AS (SELECT chunk_number, count(*) AS candidate_count,
  CASE WHEN chunk_number % 10 = 3 THEN 4 ELSE 1 END AS attempts,
  CASE WHEN chunk_number % 10 = 3 THEN 500 ELSE 200 END AS http_status,
  CASE WHEN chunk_number % 10 = 3 THEN 'Gemini returned HTTP 500.'
-  WHEN chunk_number % 10 = 4 THEN 'Gemini response was not valid JSON.' END AS failure_reason,
+  WHEN chunk_number % 10 = 4 THEN '{R.FAILED_NOT_JSON}' WHEN chunk_number % 10 = 6 THEN '{R.FAILED_NOT_OBJECT}' END
+  AS failure_reason,
  {USABLE} AS succeeded FROM chunks GROUP BY chunk_number)"""
 
 
@@ -287,13 +345,16 @@ def batch_summary(spark, sf):
     return A.batch_summary(A.chunk_summary(rows, responses(rows)))
 
 
-BODY = """CASE l_linenumber WHEN 1 THEN '[1]' WHEN 2 THEN '{"audit":[]}' WHEN 3 THEN '{"audits":{}}'
- WHEN 4 THEN 'no json' WHEN 5 THEN '{"audits":[3]}' ELSE '{"audits":[]}' END"""
+# Valid JSON without a list of audits, bare, fenced and inside other text; the rest is fine or not JSON at all.
+BODY = """CASE l_linenumber WHEN 1 THEN '[1]' WHEN 2 THEN '{"audit":[]}' WHEN 3 THEN '```json\n{"audits":{}}\n```'
+ WHEN 4 THEN 'no json' WHEN 5 THEN '```\n{"audits":[3]}\n```' WHEN 6 THEN concat('So: {"audits":', l_quantity, '} there')
+ ELSE 'Here: {"audits":[]} ok' END"""
 
 
 @query("payload_errors", f"""
-SELECT l_orderkey * 8 + l_linenumber AS chunk_number, CASE WHEN l_linenumber IN (1, 4) THEN '{R.PAYLOAD_NOT_OBJECT}'
- ELSE '{R.PAYLOAD_WITHOUT_AUDITS.replace("'", "''")}' END AS error FROM lineitem WHERE l_linenumber < 5 AND l_quantity > 10""")
+SELECT l_orderkey * 8 + l_linenumber AS chunk_number, CASE WHEN l_linenumber = 1 THEN '{R.PAYLOAD_NOT_OBJECT}'
+ ELSE '{R.PAYLOAD_WITHOUT_AUDITS.replace("'", "''")}' END AS error FROM lineitem
+WHERE l_linenumber IN (1, 2, 3, 6) AND l_quantity > 10""")
 def payload_errors(spark, sf):
     status = F.when(F.col("l_quantity") > 10, 200).otherwise(500)
     return A.payload_errors(table(spark, sf, "lineitem").select(
@@ -403,7 +464,7 @@ FROM lineitem"""
 @query("deal_violations", f"""WITH r AS ({RECORD})
 SELECT {KEY}, CASE WHEN audit_source = 'gemini' THEN CASE WHEN model_confidence IS NULL
  THEN 'model deal must define confidence and specs_matched' WHEN model_confidence > 100
- THEN 'model confidence out of range [0, 100]' ELSE '' END
+ THEN 'model confidence: outside 0 to 100' ELSE '' END
  ELSE CASE WHEN local_match_score IS NULL THEN 'local deal must define local_match_score'
  WHEN local_match_score > 100 THEN 'local_match_score out of range [0.0, 100.0]' ELSE '' END END AS problem,
  CASE WHEN l_linenumber < 4 THEN 'pouch' ELSE '' END AS freebies FROM r""")
@@ -442,16 +503,49 @@ def full_run(spark: SparkSession, sf: str, include_local: bool = True) -> P.Casc
 
     def auditor(candidates: DataFrame, targets: DataFrame) -> P.AuditTables:
         single = A.dedup_candidates(candidates, ["seq"]).drop("seq")
-        rows = A.chunk_candidates(
-            single, ["cand_ord", "ord"], bucket=F.floor(F.col("l_orderkey") / 4096)
-        )
-        answer = P.response_auditor(responses(rows), bucket=F.floor(F.col("l_orderkey") / 4096))
-        return answer(candidates, targets)
+        rows = A.chunk_candidates(single, ["cand_ord", "ord"])
+        return P.response_auditor(responses(rows))(candidates, targets)
 
     return P.cascade(listings, cat, auditor, LISTING_ORDER, include_local)
 
 
-@query("cascade_deals")
+# The whole run: stage one, its first candidate per listing in chunks, the judgements, and local matches of what
+# they leave open, whose variant families come from the routed targets alone.
+CASCADE = f"""{LISTINGS}, {CATALOG},
+stage_one AS (WITH {CANDIDATES} SELECT * FROM candidates),
+chunks AS (SELECT *, row_number() OVER (ORDER BY {KEY}, ord) AS seq, (row_number() OVER (ORDER BY {KEY}, ord) - 1) // 20 + 1
+ AS chunk_number FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY {KEY}, ord) AS rn FROM stage_one) WHERE rn = 1),
+{EXPLODED},
+looked_up AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, item_name
+ ORDER BY {', '.join(k + ' DESC' for k in LISTING_ORDER)}, ord DESC) AS back FROM stage_one) WHERE back = 1),
+audited AS (SELECT l.*, {override_sql('l.condition', 'l.description')}, v.seq, 60 + v.seq % 41 AS confidence FROM valid v
+ JOIN looked_up l ON l.listing_id = v.listing_id AND l.item_name = v.matched_item
+ WHERE l.price_flag NOT IN ('placeholder_zero', 'suspiciously_low') AND l.effective_price > 0
+ AND l.effective_price <= l.deal_price AND 60 + v.seq % 41 >= 80),
+model_deals AS (SELECT listing_id, item_name AS matched_item, effective_price AS offer_price, deal_price,
+ deal_price - effective_price AS savings,
+ CASE WHEN seq % 2 = 0 AND NOT condition_overridden THEN CASE lower(condition) WHEN 'brand new' THEN 'Lightly Used'
+  WHEN 'like new' THEN 'Well Used' ELSE final_condition END ELSE final_condition END AS final_condition,
+ 'gemini' AS audit_source, confidence AS model_confidence, NULL::DOUBLE AS local_match_score,
+ '{R.REASON_MODEL}' AS acceptance_reason FROM audited),
+routed AS (SELECT * FROM chunks WHERE {ROUTED}),
+chosen AS (SELECT * FROM catalog WHERE item_name IN (SELECT item_name FROM routed)),
+fits AS (WITH RECURSIVE catalog AS (SELECT row_number() OVER (ORDER BY ord) AS ord, * EXCLUDE (ord) FROM chosen), {FAMILIES_ON}
+ SELECT * FROM profiles),
+best_titles AS (WITH RECURSIVE {BEST} SELECT title, acc, pack, item_name, ts FROM best),
+local_deals AS (SELECT r.listing_id, b.item_name AS matched_item, r.effective_price AS offer_price, c.deal_price,
+ c.deal_price - r.effective_price AS savings, {override_sql('r.condition', 'r.description')}, ts, {tokens_sql('r.title')} AS toks,
+ r.price_flag, r.item_name AS candidate
+ FROM routed r JOIN best_titles b USING (title, acc, pack) JOIN catalog c ON c.item_name = b.item_name
+ WHERE r.effective_price <= c.deal_price),
+all_deals AS (SELECT * FROM model_deals UNION ALL
+ SELECT listing_id, matched_item, offer_price, deal_price, savings, final_condition, 'local_fallback', NULL, ts, '{R.REASON_ROUTED}'
+ FROM local_deals t JOIN fits p ON p.item_name = t.matched_item
+ WHERE t.candidate = t.matched_item AND price_flag NOT IN ('placeholder_zero', 'suspiciously_low', 'bundle_candidate')
+ AND {COMPATIBLE} AND ts >= 60 AND listing_id NOT IN (SELECT listing_id FROM model_deals))"""
+
+
+@query("cascade_deals", f"WITH RECURSIVE {CASCADE} SELECT * FROM all_deals")
 def cascade_deals(spark, sf):
     return full_run(spark, sf).deals.select(
         "listing_id", "matched_item", "offer_price", "deal_price", "savings", "final_condition",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offermatch import rules as R
@@ -37,15 +37,15 @@ Auditor = Callable[[DataFrame, DataFrame], AuditTables]
 
 
 def response_auditor(responses: DataFrame, size: int = R.AUDIT_CHUNK,
-                     bucket: Column | None = None, whitelist: str = "first") -> Auditor:
+                     whitelist: str = "first") -> Auditor:
     """An auditor over a table of recorded responses, one per chunk of candidates."""
     def audit(candidates: DataFrame, cat: DataFrame) -> AuditTables:
         single = A.dedup_candidates(candidates, ["seq"]).drop("seq")
         # Requests and parsed judgements are each read by several branches.
-        chunks = cut_lineage(A.chunk_candidates(single, ["cand_ord", "ord"], size, bucket))
-        allowed = A.allowed_targets(candidates, cat, ["seq"], whitelist)
+        chunks = cut_lineage(A.chunk_candidates(single, ["cand_ord", "ord"], size))
+        allowed = A.allowed_targets(candidates, ["seq"], whitelist)
         parts = A.reconcile_audits(cut_lineage(A.explode_audits(responses)), chunks)
-        gate = A.whitelist_gate(parts["valid"], allowed)
+        gate = A.whitelist_gate(parts["valid"], allowed, cat)
         summary = A.chunk_summary(chunks, responses)
         failed = summary.filter(~F.col("succeeded"))
         fallback = A.route_fallback(chunks, failed, parts["missing"], gate["errors"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offermatch import rules as R
-from offermatch.functions import fuzzy, similarity as S
+from offermatch.functions import similarity as S
 from offermatch.functions.text import tokens
 from offermatch.operators import candidates as C, matching as M, variants as V
 from offermatch.plans.registry import (
@@ -76,7 +76,7 @@ partials AS (SELECT a, b, max((1.0::DOUBLE - (length(p) + length(win) - 2 * l)::
 
 @query("score_partial", f"WITH {PAIRS}, {partial_ctes('pairs', 'a', 'b')} SELECT a, b, pr AS score FROM partials")
 def score_partial(spark, sf):
-    return title_pairs(spark, sf).withColumn("score", fuzzy.arrow_scorer("partial")("a", "b"))
+    return title_pairs(spark, sf).withColumn("score", S.partial_ratio(F.col("a"), F.col("b")))
 
 
 FOLDED = f"""{PAIRS}, folded AS (SELECT a, b, lower({rewrite_sql('a', R.ALIASES, 'gi')}) AS fa,
@@ -92,7 +92,7 @@ def recall_score(spark, sf):
     rows = title_pairs(spark, sf).withColumns({
         "fa": C.recall_text(F.col("a")), "fb": C.recall_text(F.col("b")),
     }).withColumn("token_set", S.token_set_ratio(F.col("fa"), F.col("fb"))).withColumn(
-        "partial", fuzzy.arrow_scorer("partial")("fa", "fb")
+        "partial", S.partial_ratio(F.col("fa"), F.col("fb"))
     )
     passes = (F.col("token_set") >= R.TOKEN_SET_MIN) | (F.col("partial") >= R.PARTIAL_MIN)
     return rows.select(
@@ -117,8 +117,7 @@ def core_token_match(spark, sf):
 
 # --- families and variants -------------------------------------------------------------------
 
-FAMILIES = f"""{CATALOG},
-named AS (SELECT ord, item_name, lower(item_name) AS low FROM catalog),
+FAMILIES_ON = f"""named AS (SELECT ord, item_name, lower(item_name) AS low FROM catalog),
 sorted_names AS (SELECT ord, item_name, array_to_string(list_sort({words_sql('low')}), ' ') AS s FROM named),
 edges AS (SELECT earlier, later FROM (SELECT x.ord AS earlier, y.ord AS later, x.s AS xs, y.s AS ys
  FROM sorted_names x JOIN sorted_names y ON x.ord < y.ord) WHERE {ratio_sql('xs', 'ys')} >= 55),
@@ -142,9 +141,10 @@ profiles AS (SELECT ord, item_name, v.leader, own_tokens,
  list_filter(pool, lambda t: NOT list_contains(own_tokens, t)) AS siblings,
  list_filter(toks, lambda t: NOT list_contains([{', '.join(f"'{t}'" for t in R.GENERIC_TOKENS)}], t)) AS required
  FROM variants v JOIN pools p ON p.leader = v.leader)"""
+FAMILIES = f"{CATALOG}, {FAMILIES_ON}"
 
 
-@query("family_edges", f"WITH RECURSIVE {FAMILIES} SELECT earlier, later FROM edges")
+@query("family_edges", f"WITH RECURSIVE {CATALOG}, {FAMILIES_ON} SELECT earlier, later FROM edges")
 def family_edges(spark, sf):
     return V.family_edges(bridge.catalog(spark, sf).select("ord", "item_name"))
 
@@ -282,6 +282,16 @@ def find_candidates(spark, sf):
     )
 
 
+@query("find_candidates_eligible", f"""WITH {CANDIDATES}
+SELECT c.listing_id, {', '.join('c.' + k for k in LISTING_ORDER)}, item_name, effective_price, lexical_score, price_flag
+FROM candidates c JOIN part ON l_partkey = p_partkey
+WHERE l_linenumber = 7 OR item_name = p_name OR (l_linenumber = 2 AND item_name = 'red ring')""")
+def find_candidates_eligible(spark, sf):
+    """Listings that may match a few targets, and some (line 7) that may match any."""
+    found = C.find_candidates(with_eligible(spark, sf), bridge.catalog(spark, sf), ["listing_id", *LISTING_ORDER])
+    return found.select("listing_id", *LISTING_ORDER, "item_name", "effective_price", "lexical_score", "price_flag")
+
+
 @query("annotate_listings", f"""WITH {CANDIDATES},
 picked AS (SELECT * FROM (SELECT listing_id, price_flag, effective_price, row_number() OVER (PARTITION BY listing_id
  ORDER BY CASE price_flag WHEN 'bundle_candidate' THEN 4 WHEN 'text_recovered' THEN 3 WHEN 'suspiciously_low' THEN 2

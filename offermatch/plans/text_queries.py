@@ -119,12 +119,14 @@ def clean_for_audit(spark, sf):
     return documents(spark, sf).select("doc_id", X.clean_for_audit(F.col("text")).alias("plain"))
 
 
-@query("audit_block", f"""WITH {LISTINGS}, c AS (SELECT *,
- trim(regexp_replace({rewrite_sql("regexp_replace(description, '#.*$', '')", R.PERSONAL_DATA)}, '\\s+', ' ', 'g')) AS d
- FROM listings)
-SELECT {KEY}, concat('<listing_untrusted_data id="', listing_id, '">', chr(10), '  <title>', title, '</title>', chr(10),
+BLOCK_CLEAN = f"""trim(regexp_replace({rewrite_sql("regexp_replace(description, '#.*$', '')", R.PERSONAL_DATA)},
+ '\\s+', ' ', 'g')) AS d"""
+BLOCK = """concat('<listing_untrusted_data id="', listing_id, '">', chr(10), '  <title>', title, '</title>', chr(10),
  '  <price>', coalesce(printf('%.2f', CAST(price AS DOUBLE)), '0.00'), '</price>', chr(10), '  <description>', d,
- '</description>', chr(10), '</listing_untrusted_data>') AS block FROM c""")
+ '</description>', chr(10), '</listing_untrusted_data>')"""
+
+
+@query("audit_block", f"WITH {LISTINGS}, c AS (SELECT *, {BLOCK_CLEAN} FROM listings) SELECT {KEY}, {BLOCK} AS block FROM c")
 def audit_block(spark, sf):
     return bridge.listings(spark, sf).select(*LISTING_ORDER, X.audit_block(
         F.col("listing_id"), F.col("title"), F.col("price"), F.col("description")

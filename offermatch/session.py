@@ -6,10 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows of a reference table that may be held by every task.  Names are short, so this is a few
-# megabytes; beyond it operators switch to a shuffled plan or work block by block.
-BOUNDED_ROWS = 20_000
-
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
