@@ -13,6 +13,7 @@ from offermatch.plans import cascade as P
 from offermatch.plans.match_queries import BEST, CANDIDATES, COMPATIBLE, DEALS, FAMILIES_ON
 from offermatch.plans.registry import CATALOG, LISTINGS, query, tokens_sql
 from offermatch.plans.text_queries import BLOCK, BLOCK_CLEAN, override_sql
+from offermatch.session import cut_lineage
 from offermatch.sources import bridge
 from offermatch.sources.bridge import LISTING_ORDER, table
 
@@ -271,9 +272,15 @@ def reconcile_unknown(spark, sf):
     return A.reconcile_audits(*exploded(spark, sf))["unknown"]
 
 
-def gated(spark: SparkSession, sf: str):
-    audits, rows = exploded(spark, sf)
-    parts = A.reconcile_audits(audits, rows)
+def gated(spark: SparkSession, sf: str, stored: bool = False):
+    """Requests, judgements by kind, and those inside and outside their whitelist.
+
+    ``stored`` writes requests and judgements first, as two jobs of a real run would, for queries that read
+    them often.
+    """
+    rows = cut_lineage(chunks(spark, sf)) if stored else chunks(spark, sf)
+    audits = A.explode_audits(responses(rows))
+    parts = A.reconcile_audits(cut_lineage(audits) if stored else audits, rows)
     gate = A.whitelist_gate(parts["valid"], A.allowed_targets(rows, ["seq"]), bridge.catalog(spark, sf))
     return rows, parts, gate
 
@@ -293,8 +300,7 @@ def whitelist_errors(spark, sf):
 ROUTED = "listing_id NOT IN (SELECT listing_id FROM valid WHERE matched_item <> 'nothing like it')"
 
 
-def routed(spark: SparkSession, sf: str) -> DataFrame:
-    rows, parts, gate = gated(spark, sf)
+def routed(rows: DataFrame, parts: dict[str, DataFrame], gate: dict[str, DataFrame]) -> DataFrame:
     failed = A.chunk_summary(rows, responses(rows)).filter(~F.col("succeeded"))
     return A.route_fallback(rows, failed, parts["missing"], gate["errors"])
 
@@ -302,7 +308,7 @@ def routed(spark: SparkSession, sf: str) -> DataFrame:
 @query("route_fallback", f"""WITH {CANDS}, {EXPLODED}
 SELECT chunk_number, listing_id, seq FROM chunks WHERE {ROUTED}""")
 def route_fallback(spark, sf):
-    return routed(spark, sf).select("chunk_number", "listing_id", "seq")
+    return routed(*gated(spark, sf, stored=True)).select("chunk_number", "listing_id", "seq")
 
 
 @query("fallback_deals", f"""WITH RECURSIVE {DEALS}, {CANDS_ON}, {EXPLODED}
@@ -311,7 +317,7 @@ SELECT listing_id, {KEY}, d.matched_item, match_score AS local_match_score, savi
 FROM deals d JOIN (SELECT listing_id, {KEY} FROM chunks WHERE {ROUTED}) USING (listing_id, {KEY})""")
 def fallback_deals(spark, sf):
     """Local matches of the candidates that the audit could not judge."""
-    rows = routed(spark, sf).withColumns({
+    rows = routed(*gated(spark, sf, stored=True)).withColumns({
         "effective_price": F.col("price"), "ord": F.lit(0), "deal_price": F.lit(0.0), "lexical_score": F.lit(0.0),
         "price_flag": F.lit("normal"),
     })
@@ -418,8 +424,8 @@ accepted AS (SELECT v.chunk_number, v.pos, v.listing_id, v.matched_item, 60 + v.
  WHERE p.price_flag <> 'placeholder_zero' AND p.price > 0 AND p.price <= c.deal_price AND 60 + v.seq % 41 >= 80)"""
 
 
-def accepted(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _, gate = gated(spark, sf)
+def accepted(spark: SparkSession, sf: str, gate: dict[str, DataFrame] | None = None) -> DataFrame:
+    gate = gate or gated(spark, sf)[2]
     stage_one = pairs(spark, sf).withColumns({
         "effective_price": F.col("price").cast("double"), "seq": F.struct(*LISTING_ORDER),
         "deal_price": F.lit(0.0), "ord": F.lit(0),

@@ -37,11 +37,7 @@ def read_catalog(spark: SparkSession, sf: str) -> DataFrame:
     header = ["Notes", "Item Name ", "Deal Price (PHP)", "Retail Price (PHP)", " Category",
               "Keyword for Condition Downsizing", "Keyword for Finding Freebies", "Target Type",
               "Allow Bundle Check"]
-    head = table(spark, sf, "part").select("p_partkey").orderBy("p_partkey").limit(2).select(
-        F.col("p_partkey").alias("ord"),
-        F.when(F.col("p_partkey") == 0, F.array(F.lit("Price list"), F.lit("")))
-        .otherwise(F.array(*[F.lit(h) for h in header])).alias("cells"),
-    )
+    head = spark.createDataFrame([(0, ["Price list", ""]), (1, header)], "ord long, cells array<string>")
     rows = table(spark, sf, "part").select(
         (F.col("p_partkey") + 2).alias("ord"),
         F.array(
@@ -332,6 +328,20 @@ def shown_price(spark, sf):
     )
 
 
+@query("nested_price", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 4 THEN NULL
+ WHEN l_linenumber = 5 THEN 7.5::DOUBLE ELSE l_quantity + 0.25 END AS price FROM lineitem""")
+def nested_price(spark, sf):
+    """Prices in objects up to 28 deep; one without an amount, one whose first branch holds none."""
+    amount = F.concat(F.lit('"PHP '), (F.col("l_quantity") + 0.25).cast("string"), F.lit('"'))
+    depth = F.col("l_linenumber") * 4
+    inner = F.when(F.col("l_linenumber") == 4, F.lit('"soon"')).when(
+        F.col("l_linenumber") == 5, F.lit('{"amount":{"value":{}},"price":{"value":7.5}}')).otherwise(amount)
+    card = F.concat(F.lit('{"price":'), F.repeat(F.lit('{"value":'), depth), inner, F.repeat(F.lit("}"), depth), F.lit("}"))
+    parsed = table(spark, sf, "lineitem").withColumn("_card", F.try_parse_json(card))
+    return parsed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", P.card_price(F.col("_card")).alias("price"))
+
+
 @query("normalize_condition", """
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 THEN ''
  WHEN l_returnflag = 'A' THEN 'Brand New' WHEN l_returnflag = 'N' THEN 'Like New' ELSE 'Heavily Used' END
@@ -485,21 +495,41 @@ def enrich(spark, sf):
     )
 
 
+# Every third source was not asked; detail pages were fetched for the listings of a few lines.
+DETAIL = "l_linenumber = 3 AND l_suppkey % 4 = 1"
+
+
 @query("source_summary", f"""WITH {LISTINGS}, {SOURCED_SQL},
+asked AS (SELECT l_suppkey AS source_ord, string_agg(listing_id || ':' || CAST(l_linenumber AS STRING) || ':' ||
+ CASE WHEN description <> '' THEN 'true' ELSE 'false' END, '|' ORDER BY {', '.join(LISTING_ORDER)}) AS requests
+ FROM listings WHERE {DETAIL} GROUP BY 1),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_ord
  ORDER BY {', '.join(LISTING_ORDER)}) AS rn FROM sourced) WHERE rn <= 20 OR mode = 'Category'),
 seen AS (SELECT source_ord, row_number() OVER (PARTITION BY listing_id ORDER BY source_ord,
  {', '.join(LISTING_ORDER)}) > 1 AS again FROM kept)
-SELECT s_suppkey AS source_ord, coalesce(f.n, 0) AS fetched_listing_count,
- coalesce(k.n, 0) AS retained_listing_count, coalesce(k.d, 0) AS duplicates_removed
+SELECT s_suppkey AS source_ord, CASE WHEN s_suppkey % 2 = 0 THEN 'Item Name' ELSE 'Category' END AS mode,
+ concat('{SITE}/s/', CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 3 = 1 THEN '?final' ELSE '' END) AS url,
+ CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'Tools' END AS category, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS query,
+ concat(s_name, '|other') AS target_items, CASE WHEN s_suppkey % 3 > 0 THEN 200 END AS http_status,
+ CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 3 ELSE 0 END AS attempts, coalesce(k.n, 0) AS listing_count,
+ coalesce(f.n, 0) AS fetched_listing_count, coalesce(k.n, 0) AS retained_listing_count, coalesce(k.d, 0) AS duplicates_removed,
+ coalesce(requests, '') AS description_requests
 FROM supplier LEFT JOIN (SELECT source_ord, count(*) AS n FROM sourced GROUP BY 1) f ON f.source_ord = s_suppkey
 LEFT JOIN (SELECT source_ord, count(*) AS n, count_if(again) AS d FROM seen GROUP BY 1) k
- ON k.source_ord = s_suppkey""")
+ ON k.source_ord = s_suppkey LEFT JOIN asked a ON a.source_ord = s_suppkey""")
 def summary(spark, sf):
     rows = sourced(spark, sf).drop("mode").withColumn("link", F.lit(""))
-    return L.source_summary(rows, supplier_sources(spark, sf)).select(
-        "source_ord", "fetched_listing_count", "retained_listing_count", "duplicates_removed"
-    )
+    sources = supplier_sources(spark, sf)
+    fetches = sources.filter("source_ord % 3 > 0").select(
+        "source_ord", F.when(F.col("source_ord") % 3 == 1, F.concat("url", F.lit("?final"))).otherwise(F.col("url")).alias("final_url"),
+        F.lit(200).alias("http_status"), (F.col("source_ord") % 3).alias("attempts"))
+    details = bridge.listings(spark, sf).filter(DETAIL).select(
+        F.col("l_suppkey").alias("source_ord"), F.struct(*LISTING_ORDER).alias("pos"), "listing_id", F.lit("").alias("url"),
+        F.lit(200).alias("http_status"), F.col("l_linenumber").alias("attempts"), "description")
+    shown = F.transform("description_requests", lambda r: F.concat_ws(
+        ":", r["listing_id"], r["attempts"].cast("string"), r["description_available"].cast("string")))
+    found = L.source_summary(rows, sources, fetches=fetches, details=details)
+    return found.withColumns({"description_requests": F.array_join(shown, "|"), "target_items": F.array_join("target_items", "|")})
 
 
 @query("flatten_categories", f"""WITH {LISTINGS}

@@ -194,11 +194,15 @@ def enrich_descriptions(df: DataFrame, details: DataFrame, hosts: list[str]) ->
     )
 
 
-def source_summary(rows: DataFrame, sources: DataFrame, rows_kept: int = R.ITEM_SOURCE_ROWS) -> DataFrame:
-    """Per source: rows fetched and retained, and retained rows already seen earlier.
+def source_summary(rows: DataFrame, sources: DataFrame, rows_kept: int = R.ITEM_SOURCE_ROWS,
+                   fetches: DataFrame | None = None, details: DataFrame | None = None) -> DataFrame:
+    """Per source: the request, rows fetched and retained, repeats of earlier rows, and detail requests.
 
     ``rows`` has source_ord, pos and the identity columns.  Repeats are counted as retained rows
-    minus first sightings, which needs no ordering of a whole identity group in one task.
+    minus first sightings, which needs no ordering of a whole identity group in one task.  ``fetches``, one row
+    per source, has source_ord, final_url, http_status and attempts; a source without one was not asked.
+    ``details`` logs detail pages: source_ord, pos, listing_id, url, http_status, attempts and the
+    description found; a page of listings asks for few of them.
     """
     fetched = rows.groupBy("source_ord").agg(F.count("*").alias("fetched_listing_count"))
     kept = cap_per_source(
@@ -210,15 +214,31 @@ def source_summary(rows: DataFrame, sources: DataFrame, rows_kept: int = R.ITEM_
         .groupBy(F.col("at.source_ord").alias("source_ord"))
         .agg(F.count("*").alias("_firsts"))
     )
+    spark = rows.sparkSession
+    if fetches is None:
+        fetches = spark.createDataFrame([], "source_ord long, final_url string, http_status int, attempts int")
+    if details is None:
+        details = spark.createDataFrame([], "source_ord long, pos long, listing_id string, url string, http_status int, "
+                                            "attempts int, description string")
+    request = F.struct("pos", F.struct(
+        "listing_id", "url", "http_status", "attempts",
+        (F.coalesce("description", F.lit("")) != "").alias("description_available"),
+    ).alias("request"))
+    requests = details.groupBy("source_ord").agg(F.transform(
+        F.array_sort(F.collect_list(request)), lambda r: r["request"]).alias("description_requests"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    nothing = F.array().cast(requests.schema["description_requests"].dataType)
     return (
         sources.join(fetched, "source_ord", "left").join(retained, "source_ord", "left")
-        .join(firsts, "source_ord", "left")
+        .join(firsts, "source_ord", "left").join(fetches, "source_ord", "left").join(requests, "source_ord", "left")
         .select(
-            "source_ord", "mode", "url", "category", "query", "target_items",
+            "source_ord", "mode", F.coalesce("final_url", "url").alias("url"), "category", "query", "target_items",
+            "http_status", count("attempts").alias("attempts"),
+            count("retained_listing_count").alias("listing_count"),
             count("fetched_listing_count").alias("fetched_listing_count"),
             count("retained_listing_count").alias("retained_listing_count"),
             (count("retained_listing_count") - count("_firsts")).alias("duplicates_removed"),
+            F.coalesce("description_requests", nothing).alias("description_requests"),
         )
     )
 

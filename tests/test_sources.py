@@ -138,3 +138,14 @@ def test_deep_json_is_an_error_row(spark):
     df = spark.createDataFrame([("u", deep, "1"), ("v", nested, "1")], "url string, html string, listing_id string")
     assert {r.url: r.extract_status for r in P.page_cards(df).collect()}["u"] == "structure_error"
     assert [r.status for r in P.detail_descriptions(df).collect()] == ["structure_error"] * 2
+
+
+def test_price_of_any_depth(spark):
+    def nested(depth, inner):
+        return '{"price":' + '{"amount":' * depth + inner + "}" * depth + "}"
+
+    rows = [(nested(0, "5"), 5.0), (nested(1, '"PHP 1,200"'), 1200.0), (nested(10, "7"), 7.0), (nested(40, '"8"'), 8.0),
+            (nested(9, "null"), None), ('{"price":{"amount":{"x":1},"value":{"price":{"formatted":"9"}}}}', 9.0)]
+    df = spark.createDataFrame(rows, "card string, want double").withColumn("c", F.try_parse_json("card"))
+    for r in df.select("want", P.card_price(F.col("c")).alias("got")).collect():
+        assert r.got == r.want
