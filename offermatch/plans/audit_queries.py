@@ -225,7 +225,8 @@ valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id OR
 
 
 def exploded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = chunks(spark, sf)
+    # The request table stands between the two jobs of a real run; here too it is written before it is read twice.
+    rows = cut_lineage(chunks(spark, sf))
     return A.explode_audits(responses(rows)), rows
 
 
