@@ -1,12 +1,13 @@
 """Personal data in texts: patterns propose, checksums confirm, context words adjust (operator 9).
 
 Everything is a Column expression.  A pattern's matches and the gaps between them are taken as two
-arrays; their lengths give the spans.  Patterns use possessive loops and look back to where a run begins,
+arrays; prefix sums of their lengths give the spans.  Patterns use possessive loops and look back to where a run begins,
 so that they take linear time on any text and still find what the plain patterns find.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ BEFORE, AFTER = 40, 20  # characters of context
 CONTEXT_GAIN = 0.3
 
 LOCAL = "[A-Za-z0-9._%+-]"
+RUN = 64  # items of an array that are handled by appending or cutting one after another
+LEVELS = 3  # runs, runs of runs, ...: work on n items grows as n * RUN + (n / RUN ** 2) ** 2
 
 
 class Kind(NamedTuple):
@@ -95,28 +98,74 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def runs(items: Column, length: int) -> Column:
+    """The array, cut into arrays of ``length`` items, the last one shorter; one empty array if it is empty."""
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / length).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * length + 1, F.lit(length)))
+
+
+def before(values: Column, combine: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
+    """For each place of an array of longs, what ``combine`` makes of zero and all values before it.
+
+    Appending copies an array, so only short runs are built that way; what each run starts from is found
+    from the runs' totals, in the same manner.
+    """
+    zero = F.lit(0).cast("long")
+    if levels == 1:
+        start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(values, start, lambda s, v: F.struct(
+            combine(s["at"], v).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+    def joined_up(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, zero, combine))
+        return F.flatten(F.zip_with(parts, bound(totals, lambda t: before(t, combine, levels - 1)), lambda part, base: (
+            F.transform(before(part, combine, 1), lambda at: combine(base, at)))))
+
+    return bound(runs(values, RUN), joined_up)
+
+
+def pieces(text: Column, cuts: Column, levels: int = LEVELS) -> Column:
+    """The parts of ``text`` at ``cuts``, an ascending array of (start, end) that do not overlap.
+
+    Finding a place in a text means counting from its beginning, so a run of cuts gets its own part of the
+    text first and is cut out of that.
+    """
+    def part(body: Column, start: Column, end: Column) -> Column:
+        return F.substring(body, (start + 1).cast("int"), (end - start).cast("int"))
+
+    if levels == 1:
+        return F.transform(cuts, lambda c: part(text, c["start"], c["end"]))
+
+    def cut_run(run: Column) -> Column:
+        first = F.get(run, F.lit(0))["start"]
+        moved = F.transform(run, lambda c: F.struct((c["start"] - first).alias("start"), (c["end"] - first).alias("end")))
+        return bound(F.struct(part(text, first, F.element_at(run, -1)["end"]).alias("body"), moved.alias("cuts")),
+                     lambda own: pieces(own["body"], own["cuts"], levels - 1))
+
+    return F.flatten(F.transform(runs(cuts, RUN ** (levels - 1)), cut_run))
+
+
 def spans(text: Column, kind: Kind) -> Column:
     """Confirmed matches of a kind: an array of (kind, start, end, score), in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def place(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
-
-    def weigh(pair: Column, place: Column, after: Column) -> Column:
+    def weigh(pair: Column, at: Column, after: Column) -> Column:
         near = F.lower(F.concat(F.right(pair["gap"], F.lit(BEFORE)), F.lit(" "),
                                 F.left(F.coalesce(after, F.lit("")), F.lit(AFTER)))).rlike(kind.words)
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, CONTEXT_GAIN).otherwise(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), place["start"].cast("long").alias("start"),
-                        place["end"].cast("long").alias("end"), score.alias("score"),
+        begin = at + F.length(pair["gap"])
+        return F.struct(F.lit(kind.name).alias("kind"), begin.alias("start"),
+                        (begin + F.length(pair["match"])).alias("end"), score.alias("score"),
                         confirmed(kind.name, pair["match"]).alias("ok"))
 
     def all_spans(pairs: Column) -> Column:
-        places = F.aggregate(pairs, start, place, lambda s: s["out"])
+        lengths = F.transform(pairs, lambda p: (F.length(p["gap"]) + F.length(p["match"])).cast("long"))
+        places = before(lengths, lambda total, n: total + n)
         placed = F.zip_with(pairs, places, lambda pair, at: F.struct(pair.alias("pair"), at.alias("at")))
         weighed = F.zip_with(placed, F.slice(gaps, F.lit(2), F.size(pairs)),
                              lambda p, after: weigh(p["pair"], p["at"], after))
@@ -124,8 +173,7 @@ def spans(text: Column, kind: Kind) -> Column:
 
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)),
                        lambda match, gap: F.struct(match.alias("match"), gap.alias("gap")))
-    kept = F.element_at(F.transform(F.array(pairs), all_spans), 1)
-    kept = F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"),
+    kept = F.transform(bound(pairs, all_spans), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"),
                                                 s["end"].alias("end"), s["score"].alias("score")))
     return F.when(text.rlike(kind.pattern), kept).otherwise(
         F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>"))
@@ -163,25 +211,27 @@ def digest(found: DataFrame, doc_id: str = "doc_id", name: str = "spans") -> Dat
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with every span of ``spans_of`` replaced by its kind in brackets.
 
-    Overlapping spans become one mark, that of the first.  A null text stays null.
+    Overlapping spans become one mark, that of the first.  A null text stays null; other columns keep
+    their names and values, whatever they are called.
     """
-    body, marks, column = F.col(f"`{text}`"), "marked_spans", None
+    body, marks = F.col(f"`{text}`"), "marked_spans"
     found = spans_of(docs, text, marks)
-    column = F.col(found.columns[-1])
+    column = F.col(f"`{found.columns[-1]}`")
     order = F.array_sort(F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
                                                                 s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def place(state: Column, span: Column) -> Column:
-        begin = F.greatest(state["at"], span["start"])
-        plain = F.substring(body, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
-        mark = F.when(span["start"] >= state["at"], F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
-                        F.concat(state["out"], F.array(plain, mark)).alias("out"))
+    def marked(ordered: Column) -> Column:
+        ends = F.transform(ordered, lambda s: s["end"])
+        return bound(before(ends, lambda a, b: F.greatest(a, b)), lambda at: filled(ordered, at))
 
-    def finish(state: Column) -> Column:
-        return F.array_join(F.concat(state["out"], F.array(
-            F.substring(body, (state["at"] + 1).cast("int"), F.length(body)))), "")
+    def filled(ordered: Column, at: Column) -> Column:
+        plain = F.zip_with(ordered, at, lambda s, a: F.struct(a.alias("start"), F.greatest(a, s["start"]).alias("end")))
+        tail = F.struct(F.array_max(F.transform(ordered, lambda s: s["end"])).alias("start"),
+                        F.length(body).cast("long").alias("end"))
+        labels = F.zip_with(ordered, at, lambda s, a: F.when(
+            s["start"] >= a, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+        parts = bound(F.concat(plain, F.array(tail)), lambda cuts: pieces(body, cuts))
+        return F.array_join(F.zip_with(parts, labels, lambda t, mark: F.concat(t, F.coalesce(mark, F.lit("")))), "")
 
-    clean = F.when(F.size(column) > 0, F.aggregate(order, start, place, finish)).otherwise(body)
+    clean = F.when(F.size(column) > 0, bound(order, marked)).otherwise(body)
     return found.select(*[(clean.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])

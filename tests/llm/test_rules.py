@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,29 @@ def test_redaction(spark):
     assert not any(base_spans(t) for t in got)
 
 
+def test_texts_of_many_matches(spark):
+    """Numbers around the lengths of runs, and tens of thousands of matches in one text."""
+    texts = ["é a@b.cd, 1.2.3.4 +1 (017) 555-7713;" * n for n in (1, 21, 22, 64, 65, 4096, 4097, 20_000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, marked_spans string")
+    begun = time.monotonic()
+    got = {r["doc_id"]: r for r in personal_data.digest(personal_data.spans_of(df)).collect()}
+    clean = {r["doc_id"]: r for r in personal_data.redacted(df).collect()}
+    assert time.monotonic() - begun < 60
+    for i, text in enumerate(texts):
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(text))
+        assert got[i]["spans"] == line
+        assert clean[i]["marked_spans"] == "x"
+        assert clean[i]["text"] == plainly_redacted(text)
+
+
+def plainly_redacted(text):
+    out, at = [], 0
+    for start, end, kind in sorted((a, b, k) for k, a, b in base_spans(text)):
+        out.append(text[at:max(at, start)] + (f"[{kind.upper()}]" if start >= at else ""))
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
 def features(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
