@@ -1,13 +1,14 @@
 """Token-id files with Elias-Fano document boundaries (operator 3).
 
 A file set is a Parquet table of blocks, so any store that Spark writes to can hold it.  A block is one
-row: the concatenated ids of consecutive documents, and the documents' boundaries in that array as an
-Elias-Fano code with a select directory, about 2 + log2(mean length) bits for each document in place of
-64.  Blocks stand in document order: ``shard`` (a range of documents), then ``block`` in it.
+row: the concatenated ids of consecutive documents, and two Elias-Fano codes with select directories: the
+documents' boundaries in that array, about 2 + log2(mean length) bits for each document in place of 64, and
+their ascending doc_ids, counted from the block's first.  Blocks stand in document order: ``shard`` (a range of documents), then ``block`` in it.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
 import uuid
 import zlib
@@ -23,7 +24,7 @@ from offermatch.llm.token_ids import TokenEncoder
 BLOCK_IDS = 1_000_000  # ids after which a block is closed; a longer document makes a longer block
 SAMPLE = 256  # set bits between entries of the select directory
 BLOCK_SCHEMA = ("shard int, block int, shard_start long, n_docs int, n_ids long, width int, "
-                "doc_ids array<long>, bounds binary, ids binary")
+                "n_null int, first_id long, doc_ids binary, bounds binary, ids binary")
 
 
 class EliasFano:
@@ -81,14 +82,17 @@ class EliasFano:
             window = np.unpackbits(self.high[byte:byte + 64], bitorder="little")
         return (at - i) << self.low_bits | self._low(i)
 
-    def all(self) -> np.ndarray:
-        """Every number, as select gives them one by one."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.size]
-        highs = (ones - np.arange(self.size)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little")[:self.size * self.low_bits]
-        weights = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
-        lows = (bits.reshape(self.size, self.low_bits).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
-        return (highs | lows).astype(np.int64)
+    def __iter__(self) -> Iterator[int]:
+        return map(self.select, range(self.size))
+
+
+def places(numbers: EliasFano, sought: list[int]) -> Iterator[int]:
+    """Where the sought numbers stand, every place of a repeated one."""
+    for value in sought:
+        at = bisect.bisect_left(range(numbers.size), value, key=numbers.select)
+        while at < numbers.size and numbers.select(at) == value:
+            yield at
+            at += 1
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id",
@@ -96,15 +100,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     """Encodes every text, appends ``end_id`` and writes blocks in ascending ``doc_id`` order.
 
     A null text counts as empty; null ids come first; rows of one id stand in the order of a hash of
-    their texts, so a repeated or null id does not fill one range.  An empty table writes an empty
-    table.  Texts move once, to their range; ids are made after that, and a task holds one block.
+    their texts, so a repeated or null id does not fill one range.  Other columns are not looked at, whatever
+    their names.  An empty table writes an empty table.  Texts move once, to their range; ids are made after that, and a task holds one block.
     """
     import pyarrow as pa
     from pyspark import TaskContext
 
-    names = ["shard", "block", "shard_start", "n_docs", "n_ids", "width", "doc_ids", "bounds", "ids"]
+    names = ["shard", "block", "shard_start", "n_docs", "n_ids", "width", "n_null", "first_id",
+             "doc_ids", "bounds", "ids"]
     schema = pa.schema(list(zip(names, [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(),
-                                        pa.list_(pa.int64()), pa.binary(), pa.binary()])))
+                                        pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("token encoder", tokenizer), lambda: TokenEncoder(tokenizer))
@@ -116,8 +121,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
 
         def close() -> pa.RecordBatch:
             bounds = np.cumsum([0, *(len(p) // encoder.width for p in parts)])
-            row = [shard, block, start, len(parts), int(bounds[-1]), encoder.width, keys,
-                   EliasFano.of(bounds).to_bytes(), b"".join(parts)]
+            known = [key for key in keys if key is not None]  # nulls come first
+            first = known[0] if known else 0
+            apart = np.array([key - first for key in known], np.uint64)
+            row = [shard, block, start, len(parts), int(bounds[-1]), encoder.width, len(keys) - len(known), first,
+                   EliasFano.of(apart).to_bytes(), EliasFano.of(bounds).to_bytes(), b"".join(parts)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
@@ -139,30 +147,42 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     ranged.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def read_token_files(spark: SparkSession, path: str, wanted: list[int] | None = None) -> DataFrame:
+    """One row for each document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Places come from the select structures, document by document.  With ``wanted``, a list that the caller
+    holds anyway, only those doc_ids are read: each is sought in its blocks by bisection over select.
+    """
     import pyarrow as pa
 
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()),
                         ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    sought = None if wanted is None else sorted(set(wanted))
+
+    def numbers(row: dict, doc_ids: EliasFano) -> Iterator[int]:
+        if sought is None:
+            return iter(range(row["n_docs"]))
+        return (row["n_null"] + i for i in places(doc_ids, [key - row["first_id"] for key in sought]))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                bounds = EliasFano.from_bytes(row["bounds"]).all()
-                ids = np.frombuffer(row["ids"], "<u2" if row["width"] == 2 else "<u4").astype("<u4")
-                sums = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(sums), row["shard"], np.int32)), pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(bounds[:-1] + row["shard_start"]), pa.array(np.diff(bounds)),
-                    pa.array(sums, pa.int64())], schema=schema)
+                bounds, doc_ids = EliasFano.from_bytes(row["bounds"]), EliasFano.from_bytes(row["doc_ids"])
+                ids = np.frombuffer(row["ids"], "<u2" if row["width"] == 2 else "<u4")
+                found = []
+                for i in numbers(row, doc_ids):
+                    a, b = bounds.select(i), bounds.select(i + 1)
+                    key = row["first_id"] + doc_ids.select(i - row["n_null"]) if i >= row["n_null"] else None
+                    found.append((row["shard"], key, row["shard_start"] + a, b - a, zlib.crc32(ids[a:b].astype("<u4"))))
+                columns = zip(*found) if found else [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     # One row for each shard, of which there are as many as write tasks.
     shards = blocks.groupBy("shard").agg(F.max(F.col("shard_start") + F.col("n_ids")).alias("size"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    found = blocks.select("shard", "block", "shard_start", "width", "doc_ids", "bounds", "ids").mapInArrow(
+    found = blocks.drop("block", "n_ids").mapInArrow(
         documents, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(bases, "shard").select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

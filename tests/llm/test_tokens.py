@@ -114,7 +114,7 @@ def test_token_counts_frame(spark, library):
 def test_elias_fano(steps):
     numbers = np.cumsum([0, *steps])
     code = token_files.EliasFano.from_bytes(token_files.EliasFano.of(numbers).to_bytes())
-    assert code.all().tolist() == numbers.tolist()
+    assert list(code) == numbers.tolist()
     for i in {0, len(numbers) - 1, len(numbers) // 2}:
         assert code.select(i) == numbers[i]
 
@@ -144,9 +144,27 @@ def test_token_files_round_trip(spark, library, tmp_path, monkeypatch):
         assert r["start"] == at
         at += r["n_tokens"]
     assert sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in got) == sums
+    some = token_files.read_token_files(spark, path, wanted=[3, -2, 9, 3, 4, 2**60]).collect()
+    assert sorted(map(tuple, some)) == sorted(tuple(r) for r in got if r["doc_id"] in (3, -2, 9))
     empty = str(tmp_path / "empty")
     token_files.write_token_files(df.limit(0), empty, PATH, end_id=2)
     assert token_files.read_token_files(spark, empty).count() == 0
+    assert token_files.read_token_files(spark, empty, wanted=[3]).count() == 0
+
+
+def test_token_files_of_odd_columns_and_ids(spark, library, tmp_path):
+    """Columns with the names of the format, and ids from one end of the longs to the other."""
+    ids = [-2**63, 2**63 - 1, 0, None, 2**53, 2**53 + 1]
+    df = rows(spark, ["one", "two", None, "", "five", "six " * 5000], ids)
+    df = df.selectExpr("*", "1 as shard", "'x' as ids", "2 as n_null", "doc_id as k", "text as t")
+    path = str(tmp_path / "files")
+    token_files.write_token_files(df.coalesce(1), path, PATH, end_id=2)
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, -2**63, 0, 2**53, 2**53 + 1, 2**63 - 1]
+    lengths = dict(zip(ids, ["one", "two", "", "", "five", "six " * 5000]))
+    assert [r["n_tokens"] for r in got] == [len(ids_of(library, lengths[r["doc_id"]])) + 1 for r in got]
+    ends = token_files.read_token_files(spark, path, wanted=[2**63 - 1, -2**63]).collect()
+    assert sorted(r["doc_id"] for r in ends) == [-2**63, 2**63 - 1]
 
 
 @settings(max_examples=80, deadline=None)
