@@ -50,8 +50,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_supervision.judged(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    judged = weak_supervision.judged(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("quality", 6).alias("quality"), *[f"vote_{rule}" for rule in weak_supervision.RULES])
 
 
 @query

@@ -10,6 +10,7 @@ and the posterior probability of good quality decides in place of having to pass
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -107,15 +108,40 @@ class Model(NamedTuple):
 
 
 def posterior(model: Model) -> Column:
-    """Probability of good quality.  A vote never counts for the other side, an abstention for neither."""
+    """Probability of good quality, given the votes that were cast.
+
+    Abstentions are left out of the likelihood, here as in the E-step: most rules abstain on almost every
+    document, and counted as evidence for good those would outvote the one rule that sees what is wrong.
+    The bounds of ``likeliest`` see to it that a vote never counts for the other side.
+    """
     log_odds = F.lit(math.log(model.prior / (1 - model.prior)))
     for name, good, bad in zip(RULES, model.on_good, model.on_bad):
-        against, favour = math.log(good[0] / bad[0]), math.log(good[2] / bad[2])
         vote = F.col(f"vote_{name}")
-        log_odds += F.when(vote == -1, min(0.0, against)).when(vote == 1, max(0.0, favour)).otherwise(0.0)
+        log_odds += F.when(vote == -1, math.log(good[0] / bad[0])).when(vote == 1, math.log(good[2] / bad[2])).otherwise(0.0)
     return 1 / (1 + F.exp(-log_odds))
 
 
+def likeliest(good: list[float], bad: list[float]) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
+    """Shares of (bad, abstain, good) votes on good and on bad documents, from their expected counts.
+
+    The likeliest ones that sum to 1 within the bounds: where a bound holds a share, the others keep their
+    proportion in what is left; where more bad documents than good ones got good votes, both get the
+    share of all.
+    """
+    def shares(counts: list[float], clamp: Callable[[float], float]) -> tuple[float, float, float]:
+        against, silent, favour = (c / sum(counts) for c in counts)
+        held = clamp(against)
+        rest = (1 - held) / (silent + favour)
+        return held, silent * rest, favour * rest
+
+    on_good = shares(good, lambda share: min(share, FALSE_ALARMS))
+    on_bad = shares(bad, lambda share: min(max(share, HITS), 1 - FALSE_ALARMS))
+    if on_good[2] < on_bad[2]:
+        both = (on_good[2] * sum(good) + on_bad[2] * sum(bad)) / (sum(good) + sum(bad))
+        on_good, on_bad = ((held, 1 - held - both, both) for held in (on_good[0], on_bad[0]))
+    return on_good, on_bad
+
+
 def estimate(voted: DataFrame, rounds: int = ROUNDS) -> Model:
     """The share of good documents and the rules' behaviour, by EM; an empty table leaves the start."""
     columns = [f"vote_{r}" for r in RULES]
@@ -131,14 +157,10 @@ def estimate(voted: DataFrame, rounds: int = ROUNDS) -> Model:
         row = patterns.withColumn("p", posterior(model)).agg(*sums).first()
         if not row["all"]:
             break
-        shares = {}
-        for side, total, start in (("good", row["good"], ON_GOOD), ("bad", row["all"] - row["good"], ON_BAD)):
-            # One document's worth of the start keeps every share above zero.
-            shares[side] = [tuple((row[f"{c}_{side}_{v}"] + s) / (total + 1) for v, s in zip((-1, 0, 1), start))
-                            for c in columns]
-        shares["good"] = [(min(bad, FALSE_ALARMS), silent, good) for bad, silent, good in shares["good"]]
-        shares["bad"] = [(max(bad, HITS), silent, good) for bad, silent, good in shares["bad"]]
-        model = Model(min(0.99, max(0.01, row["good"] / row["all"])), shares["good"], shares["bad"])
+        # One document's worth of the start keeps every share above zero.
+        found = [likeliest(*([row[f"{c}_{side}_{v}"] + s for v, s in zip((-1, 0, 1), start)]
+                             for side, start in (("good", ON_GOOD), ("bad", ON_BAD)))) for c in columns]
+        model = Model(min(0.99, max(0.01, row["good"] / row["all"])), [g for g, _ in found], [b for _, b in found])
     return model
 
 

@@ -5,6 +5,7 @@ import math
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,64 @@ def test_weak_supervision(spark):
     assert model.accuracies()["symbols"][1] == pytest.approx(1.0, abs=0.1)
 
 
+def plain_em(rows, rounds):
+    """EM over documents, one by one, with numpy; the bounds by searching the likeliest shares on a line."""
+    w = weak_supervision
+    rules = len(w.RULES)
+    prior, good, bad = w.PRIOR, np.tile(w.ON_GOOD, (rules, 1)), np.tile(w.ON_BAD, (rules, 1))
+    cast = np.array([[[v == k for k in (-1, 0, 1)] for v in row] for row in rows], float)  # document, rule, vote
+    evidence = cast * [1, 0, 1]  # abstentions do not count
+
+    def quality():
+        odds = np.log(prior / (1 - prior)) + (evidence * (np.log(good) - np.log(bad))).sum(axis=(1, 2))
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(rounds):
+        p = quality()
+        prior = min(0.99, max(0.01, p.mean()))
+        good = (np.einsum("d,drk->rk", p, cast) + w.ON_GOOD) / (p.sum() + 1)
+        bad = (np.einsum("d,drk->rk", 1 - p, cast) + w.ON_BAD) / ((1 - p).sum() + 1)
+        for shares, low, high in ((good, 0.0, w.FALSE_ALARMS), (bad, w.HITS, 1 - w.FALSE_ALARMS)):
+            held = np.clip(shares[:, 0], low, high)
+            shares[:, 1:] *= ((1 - held) / (1 - shares[:, 0]))[:, None]
+            shares[:, 0] = held
+        for g, b in zip(good, bad):
+            if g[2] < b[2]:
+                n, m = p.sum() + 1, (1 - p).sum() + 1
+                g[2] = b[2] = (n * g[2] + m * b[2]) / (n + m)
+                g[1], b[1] = 1 - g[0] - g[2], 1 - b[0] - b[2]
+    assert np.allclose(good.sum(axis=1), 1) and np.allclose(bad.sum(axis=1), 1)
+    return quality()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quality_equals_plain_em(spark, seed):
+    rng = np.random.default_rng(seed)
+    good = rng.random(300) < 0.7
+    rows = [[int(rng.choice([-1, 0, 1], p=[0.05, 0.35, 0.6] if g else [0.5, 0.3, 0.2])) for _ in weak_supervision.RULES]
+            for g in good]
+    rows = [[*row[:4], -1, *row[5:]] if seed == 2 and i % 3 else row for i, row in enumerate(rows)]  # a rule always against
+    columns = ", ".join(f"vote_{r} int" for r in weak_supervision.RULES)
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], f"doc_id long, {columns}")
+    model = weak_supervision.estimate(df)
+    for shares in (*model.on_good, *model.on_bad):
+        assert sum(shares) == pytest.approx(1.0) and min(shares) > 0
+    got = {r[0]: r[1] for r in df.select("doc_id", weak_supervision.posterior(model)).collect()}
+    assert [got[i] for i in range(len(rows))] == pytest.approx(plain_em(rows, weak_supervision.ROUNDS), abs=1e-9)
+
+
+def test_quality_of_odd_tables(spark):
+    """A very long text, repeated rows, and columns with the names of counts and votes."""
+    long = " ".join(f"word{i}" for i in range(200_000)) + "."
+    texts = [long, "same text " * 12, "same text " * 12, None]
+    df = spark.createDataFrame([(i // 2, t, 7, "x") for i, t in enumerate(texts)],
+                               "doc_id long, text string, n_words int, vote_symbols string")
+    got = weak_supervision.judged(df).collect()
+    assert sorted(r["n_words"] for r in got) == [0, 24, 24, 200_000]
+    assert {r["vote_symbols"] for r in got} <= {-1, 0, 1} and len(got) == 4
+    assert all(r["base_failed"] == (r["n_words"] < 200_000) for r in got)
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.explode(F.array(
