@@ -149,3 +149,18 @@ def test_price_of_any_depth(spark):
     df = spark.createDataFrame(rows, "card string, want double").withColumn("c", F.try_parse_json("card"))
     for r in df.select("want", P.card_price(F.col("c")).alias("got")).collect():
         assert r.got == r.want
+
+
+def test_scripts_of_a_page():
+    """Comments, quoted attributes, open ends, several values and quoted values."""
+    def stated(html):
+        return [list(P._stated(script)) for script in P._scripts(html)]
+
+    assert stated('<!-- <script>{"a": 1}</script> --><SCRIPT data-x="a>b">{"b": 2}</Script >') == [[{"b": 2}]]
+    assert stated('<script>x = {"a": {"b": 1}}; y: {"c": 2}') == [[{"a": {"b": 1}}, {"b": 1}, {"c": 2}]]
+    quoted = json.dumps(json.dumps({"k": "é"}))
+    assert stated(f"<script>JSON.parse({quoted})</script>") == [[{"k": "é"}]]
+    assert stated('<script>a = "no json"; b = {broken; c = {"d": [1, 2]}</script>') == [[{"d": [1, 2]}]]
+    assert stated("<script></script><script>  </script><!-- open <script>{}</script>") == [[], []]
+    assert stated("<scripts>{}</scripts>") == []
+    assert [stated(part * 50_000) for part in ("<script", "<script '", "<script>", "<!-- ")] == [[[]], [[]], [[]], []]
