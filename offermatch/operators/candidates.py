@@ -36,12 +36,21 @@ def core_tokens(target_name: Column) -> Column:
 
 def core_token_match(text: Column, target_name: Column) -> Column:
     """Whether one of the target's token sets is contained in the alias-expanded text."""
-    return _holds_core(recall_text(text), target_name)
+    return let(recall_tokens(text), lambda have: holds_core(have, target_name))
+
+
+def recall_tokens(text: Column) -> Column:
+    """Tokens of the alias-expanded text: a column of its own where a text meets several targets."""
+    return tokens(recall_text(text))
+
+
+def holds_core(have: Column, target_name: Column) -> Column:
+    """:func:`core_token_match` on the text's :func:`recall_tokens`."""
+    return F.exists(core_tokens(target_name), lambda s: F.size(F.array_except(s, have)) == 0)
 
 
 def _holds_core(recalled: Column, target_name: Column) -> Column:
-    return let(tokens(recalled), lambda have: F.exists(
-        core_tokens(target_name), lambda s: F.size(F.array_except(s, have)) == 0))
+    return let(tokens(recalled), lambda have: holds_core(have, target_name))
 
 
 def recall_text(col: Column) -> Column:

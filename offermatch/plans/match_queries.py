@@ -107,11 +107,12 @@ CONSOLE_TITLE = "concat(title, CASE l_linenumber WHEN 1 THEN ' ps5 digi' WHEN 2
 @query("core_token_match", f"""WITH {LISTINGS}
 SELECT {KEY}, l_linenumber = 1 AS ps5, l_linenumber = 2 AS console, l_linenumber = 3 AS tablet FROM listings""")
 def core_token_match(spark, sf):
-    text = F.expr(CONSOLE_TITLE)
-    return bridge.listings(spark, sf).select(
-        *LISTING_ORDER, C.core_token_match(text, F.lit("PS5 Slim Digital")).alias("ps5"),
-        C.core_token_match(text, F.lit("Nintendo Switch OLED")).alias("console"),
-        C.core_token_match(text, F.lit("iPad Air 5")).alias("tablet"),
+    """One reading of each text for its three targets; the one-element explode keeps it from being repeated."""
+    read = F.explode(F.array(C.recall_tokens(F.expr(CONSOLE_TITLE)))).alias("have")
+    return bridge.listings(spark, sf).select(*LISTING_ORDER, read).select(
+        *LISTING_ORDER, C.holds_core(F.col("have"), F.lit("PS5 Slim Digital")).alias("ps5"),
+        C.holds_core(F.col("have"), F.lit("Nintendo Switch OLED")).alias("console"),
+        C.holds_core(F.col("have"), F.lit("iPad Air 5")).alias("tablet"),
     )
 
 
