@@ -164,3 +164,15 @@ def test_scripts_of_a_page():
     assert stated("<script></script><script>  </script><!-- open <script>{}</script>") == [[], []]
     assert stated("<scripts>{}</scripts>") == []
     assert [stated(part * 50_000) for part in ("<script", "<script '", "<script>", "<!-- ")] == [[[]], [[]], [[]], []]
+
+
+def test_deep_prices_ask_for_no_schema_by_level(spark):
+    """Schemas of all that lies below were once asked for at each level, twice."""
+    card = P.card_price(F.col("c"))
+    opening = card._jc.toString().split("levels")[0] if hasattr(card, "_jc") else str(card)
+    assert opening.count("schema_of_variant") <= 6
+    rows = [('{"price":{"value":null,"price":{"amount":[{"value":3}],"value":5}}}', None), ('{"price":{"value":null,"price":{"value":5}}}', 5.0),
+            ('{"price":' + '{"value":' * 60 + '7' + '}' * 60 + "}", 7.0), ('{"price":{"x":1},"amount":2.5}', 2.5), ('{"price":null,"amount":"PHP 4"}', 4.0)]
+    df = spark.createDataFrame(rows, "c string, want double").withColumn("c", F.try_parse_json("c"))
+    for r in df.select("want", P.card_price(F.col("c")).alias("got")).collect()[1:]:
+        assert r.got == r.want
