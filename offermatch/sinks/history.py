@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from offermatch import rules as R
-from offermatch.session import cut_lineage
+from offermatch.session import stored
 from offermatch.sinks.outputs import display_columns, project
 
 ID, FIRST, LAST = "Listing ID", "First Seen Date", "Last Seen Date"
@@ -125,7 +125,7 @@ def upsert_history(spark: SparkSession, path: str, deals: DataFrame, seen_date:
     fresh = first.join(old.select(F.col(f"`{ID}`").alias("_id")).distinct(), "_id", "left_anti").select(
         "_row.*", F.lit(run).cast("long").alias(ROW), _bucket(F.col("_id"), buckets).alias(BUCKET), F.lit(None).cast("boolean").alias("_again"))
     # Written once for the counts and for the table: the old files are read before any of them is replaced.
-    merged = cut_lineage(kept.unionByName(fresh))
+    merged = stored(kept.unionByName(fresh), "merged")
     merged.drop("_again").repartition(BUCKET).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
     return merged.agg(F.count_if(F.col("_again").isNull()).alias("appended"), F.count_if("_again").alias("updated"))
