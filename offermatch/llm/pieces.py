@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 from typing import Any
 
 import numpy as np
@@ -225,27 +226,36 @@ def special_strings(path: str) -> list[str]:
         return [t["content"] for t in json.load(file)["added_tokens"]]
 
 
+class _Known(dict):
+    def __missing__(self, piece: str) -> None:
+        return None
+
+
 class Memo:
     """Values of pieces, worked out once while they are remembered; forgetting changes no result.
 
-    Two generations of at most ``room`` entries each: what the older one still answers moves on.
+    Two generations, each begun anew beyond ``room`` entries or ``letters`` letters in them: what the older one
+    still answers moves on.
     """
 
-    def __init__(self, fixed: dict[str, Any], make: Callable[[list[str]], list], room: int = 400_000):
-        self.fixed, self.make, self.room = fixed, make, room
-        self.new, self.old = dict(fixed), {}
+    def __init__(self, fixed: dict[str, Any], make: Callable[[list[str]], list], room: int = 400_000,
+                 letters: int = 16_000_000):
+        self.fixed, self.make, self.room, self.letters = fixed, make, room, letters
+        self.new, self.old, self.held = _Known(fixed), {}, 0
 
     def values(self, pieces: list[str]) -> list:
-        if len(self.new) > self.room:
-            self.new, self.old = dict(self.fixed), self.new
+        if len(self.new) > self.room or self.held > self.letters:
+            self.new, self.old, self.held = _Known(self.fixed), self.new, 0
         new, old = self.new, self.old
-        found = list(map(new.get, pieces))
+        # All look-ups in one call of the interpreter; it gives a bare value for a single piece.
+        found = list(itemgetter(*pieces)(new)) if len(pieces) > 1 else [new[p] for p in pieces]
         gaps = [i for i, value in enumerate(found) if value is None]
         if gaps:
             missing = {piece: old.get(piece) for piece in map(pieces.__getitem__, gaps)}
             unknown = [piece for piece, value in missing.items() if value is None]
             missing.update(zip(unknown, self.make(unknown)))
             new.update(missing)
+            self.held += sum(map(len, missing))
             for i in gaps:
                 found[i] = missing[pieces[i]]
         return found

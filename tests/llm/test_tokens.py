@@ -207,3 +207,17 @@ def test_packing(spark, library):
     assert len(made) == len(by_sequence)
     assert all(len(r["ids"]) == 128 or len(r["ids"]) & (len(r["ids"]) - 1) == 0 for r in made)
     assert packing.packed_documents(df.limit(0), PATH).count() == 0
+
+
+def test_memo_is_bounded_by_letters():
+    """A memo was once bounded by entries alone, whatever their length."""
+    from offermatch.llm.pieces import Memo
+
+    made = []
+    memo = Memo({"<s>": 7}, lambda pieces: [made.append(p) or len(p) for p in pieces], room=1000, letters=5000)
+    for i in range(60):
+        long = str(i) * 400
+        assert memo.values([long, "<s>", "a", long]) == [len(long), 7, 1, len(long)]
+        assert memo.values(["a"]) == [1] and memo.values([]) == []
+        assert sum(map(len, [*memo.new, *memo.old])) <= 2 * (5000 + 1200)
+    assert made.count("a") == 1
