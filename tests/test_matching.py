@@ -192,3 +192,13 @@ def test_families_take_rounds(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "earlier long, later long")
     assert sorted(r.ord for r in V.claimed_names(edges).collect()) == [2, 4, 6, 8]
     assert V.claimed_names(edges.limit(0)).collect() == []
+
+
+def test_posts_are_read_after_they_are_made_distinct(spark):
+    from offermatch.operators.candidates import read_posts
+
+    listings = spark.createDataFrame([("case for x", "free", 1)] * 3, "_title string, _description string, n int")
+    reads = read_posts(listings.groupBy("_title", "_description").agg(F.max("n").alias("_open")))
+    below = reads._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[1]
+    assert "RLIKE" not in below and "regexp" not in below
+    assert [r._text for r in reads.collect()] == [] or reads.count() >= 1
