@@ -202,13 +202,14 @@ def valid_sources(spark: SparkSession, sf: str) -> DataFrame:
         "deal_price", F.lit(0.0)
     ))
     part = table(spark, sf, "part")
+    # Prices and bad rows are as many as there are parts: merged where they lie, not sent to the driver to be broadcast.
     priced = cat.drop("deal_price").join(
-        part.select(F.col("p_partkey").alias("ord"), F.col("p_retailprice").alias("deal_price")), "ord"
+        part.select(F.col("p_partkey").alias("ord"), F.col("p_retailprice").alias("deal_price")).hint("merge"), "ord"
     )
     bad = C.validate_catalog(priced, categories(spark, sf)).filter(
         F.col("problem").isin("invalid search mode", "unknown category")
     ).select((F.col("row_number") - 1).alias("ord"))
-    return C.plan_sources(priced.join(bad, "ord", "left_anti"), categories(spark, sf), SITE)
+    return C.plan_sources(priced.join(bad.hint("merge"), "ord", "left_anti"), categories(spark, sf), SITE)
 
 
 @query("plan_sources", f"""WITH {PLAN_SQL}

@@ -1,6 +1,7 @@
 """Page fixtures, catalog reading, merging."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,13 @@ def test_deep_prices_ask_for_no_schema_by_level(spark):
     df = spark.createDataFrame(rows, "c string, want double").withColumn("c", F.try_parse_json("c"))
     for r in df.select("want", P.card_price(F.col("c")).alias("got")).collect()[1:]:
         assert r.got == r.want
+
+
+def test_plan_sources_broadcasts_no_table_as_long_as_part(spark):
+    import __spark_entry__ as entry
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    df = entry.queries()["plan_sources"](spark, "/root/testdata/sf0.001")
+    shown = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange HashedRelationBroadcastMode(List(input[0, bigint" not in shown
