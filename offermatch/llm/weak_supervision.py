@@ -16,6 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offermatch.functions.text import let
 from offermatch.llm.common import WHITE, WORD, stored
 
 WINDOW = 8
@@ -37,8 +38,9 @@ def repeated_words(words: Column) -> Column:
     """
 
     def pair(hashes: Column, apart: int) -> Column:
-        later = F.slice(hashes, F.lit(apart + 1), F.size(hashes))
-        return F.zip_with(hashes, later, lambda a, b: F.xxhash64(a, b))
+        # Bound by a lambda, hashes are computed once; named three times they would be three times at each level.
+        return let(hashes, lambda found: F.zip_with(
+            found, F.slice(found, F.lit(apart + 1), F.size(found)), lambda a, b: F.xxhash64(a, b)))
 
     def cover(windows: Column) -> Column:
         numbered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))

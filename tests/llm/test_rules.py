@@ -359,3 +359,12 @@ def test_perspectives(spark):
     assert ann.startswith("<|im_start|>user name=dee x\nfirst<|im_end|>\n<|im_start|>system\nbe kind<|im_end|>\n")
     assert ann.count("<|im_end|>") == 6 and "<|im_start|>user name=bob\n<|im_end|>" in ann
     assert perspectives.rotated(df.limit(0)).count() == 0
+
+
+def test_hashes_of_words_are_computed_once_for_all_windows(spark):
+    from offermatch.llm.weak_supervision import repeated_words
+
+    text = " ".join("abcdefgh") + " z " + " ".join("abcdefgh")
+    df = spark.createDataFrame([(text,), ("a b",)], "t string").select(repeated_words(F.split("t", " ")).alias("n"))
+    assert df._jdf.queryExecution().analyzed().toString().count("xxhash64") <= 4
+    assert [r.n for r in df.collect()] == [16, 0]
