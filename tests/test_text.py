@@ -168,3 +168,11 @@ def test_bundle_cues(spark):
          ("x", "a 100 - b\nc 2k: d"), ("x", "a 100 - b"), ("x", "lot of 3")], "t string, d string")
     got = [r.v for r in df.select(D.has_bundle_cues(F.col("t"), F.col("d")).alias("v")).collect()]
     assert got == [True, False, False, True, True, False, True]
+
+
+def test_blank_and_stripped_texts(spark):
+    texts = ["", " ", "\x1c\u2003\n", " a \u00a0", "\u2028a b\n\nc\x1f ", "\U0001f600 ", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", X.strip_space(F.col("t")).alias("s"), X.is_blank(F.col("t")).alias("b")).orderBy("i").collect()
+    assert [r.s for r in rows] == ["", "", "", "a", "a b\n\nc", "\U0001f600", ""]
+    assert [r.b for r in rows] == [True, True, True, False, False, False, True]
