@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from offermatch.operators import deals as D
+from offermatch.operators import audits as A, deals as D
 from offermatch.operators.pairs import likely_among
 from offermatch.plans.audit_queries import pairs
 from offermatch.session import stored
@@ -66,6 +66,19 @@ def test_unjudged_candidates_are_not_moved(spark):
     assert "bitmap_construct_agg" in plan(made)
 
 
+def test_routed_candidates_move_once(spark):
+    rows = spark.range(1, 61).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("listing_id"),
+                                     F.expr("(id - 1) div 20 + 1").alias("chunk_number"))
+    rows = rows.unionByName(spark.createDataFrame([(61, None, 1), (62, None, 2), (63, "5", 1)], "seq long, listing_id string, chunk_number long"))
+    key = "chunk_number bigint, listing_id string"
+    failed = spark.createDataFrame([(1,)], "chunk_number bigint")
+    missing = spark.createDataFrame([(1, "3"), (2, "25"), (2, "25"), (3, "25"), (2, None)], key)
+    outside = spark.createDataFrame([(3, "41"), (None, "42")], key)
+    made = A.route_fallback(rows, failed, missing, outside)
+    assert plan(made).count("Range (") == 1
+    assert sorted(r.seq for r in made.collect()) == [*range(1, 21), 25, 41, 61, 63]
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     line = """1L AS l_orderkey, 2L AS l_partkey, 3L AS l_suppkey, 1 AS l_linenumber, 4.0D AS l_quantity, 500.0D AS l_extendedprice,
