@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offermatch.functions.prices import normalize_price, parse_sheet_price
 from offermatch.functions.text import clean_string, split_keywords
 from offermatch.plans.registry import LISTINGS, query
+from offermatch.session import stored
 from offermatch.sources import bridge, catalog as C, listings as L, pages as P
 from offermatch.sources.bridge import LISTING_ORDER, table
 
@@ -436,9 +437,10 @@ urls AS (SELECT listing_id, string_agg(seller, '|' ORDER BY n) AS source_urls FR
  SELECT listing_id, seller, min(n) AS n FROM ordered GROUP BY ALL) GROUP BY listing_id)
 SELECT listing_id, title, price, description, source_urls FROM scalars JOIN urls USING (listing_id)""")
 def merge(spark, sf):
-    rows = bridge.listings(spark, sf).withColumns({
-        "link": F.lit(""), "source_urls": F.array("seller"),
-    })
+    # Written as scraped listings are: scalars and lists each read them.
+    read = stored(bridge.listings(spark, sf).select(
+        *LISTING_ORDER, "listing_id", "title", "price", "description", "seller"), "listings")
+    rows = read.withColumns({"link": F.lit(""), "source_urls": F.array("seller")})
     merged = L.merge_listings(
         rows, LISTING_ORDER, ["listing_id", "title", "price", "description"], ["source_urls"]
     )

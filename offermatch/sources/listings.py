@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offermatch import rules as R
 from offermatch.functions.prices import as_double
 from offermatch.functions.text import clean_string, strip_space, text_or_empty
+from offermatch.session import stored
 
 LIST_COLUMNS = ["eligible_target_names", "source_modes", "source_urls", "source_queries"]
 
@@ -118,8 +119,8 @@ def merge_listings(df: DataFrame, order: list[str], scalars: list[str],
     rows = df.withColumn("_id", key).withColumn("_at", F.struct(*order))
     picked = []
     for name in scalars:
-        first = F.min_by(name, F.when(_truthy(df, name), F.col("_at")))
-        picked.append(F.coalesce(first, F.min_by(name, F.col("_at"))).alias(name))
+        # Rows without a usable value come after all others, so the order moves once for a scalar.
+        picked.append(F.min_by(name, F.struct((~_truthy(df, name)).alias("_blank"), "_at")).alias(name))
     merged = rows.groupBy("_id").agg(F.min("_at").alias("_first"), *picked)
     present = [c for c in lists if c in df.columns]
     if present:
@@ -141,7 +142,8 @@ def merge_listings(df: DataFrame, order: list[str], scalars: list[str],
             ).alias(c)
             for c in present
         ])
-        merged = merged.join(unions, "_id", "left")
+        # Written, so that their shuffles are gone when the scalars are grouped.
+        merged = merged.join(stored(unions, "unions"), "_id", "left")
     empty = F.array().cast("array<string>")
     return merged.select(
         F.col("_id.kind").alias("identity_kind"), F.col("_id.key").alias("identity_key"),

@@ -9,6 +9,7 @@ from offermatch.operators import audits as A, deals as D
 from offermatch.operators.pairs import likely_among
 from offermatch.plans.audit_queries import pairs
 from offermatch.session import stored
+from offermatch.sources import listings as L
 
 AUDIT = """listing_id string, chunk_number int, pos int, matched_item string, confidence bigint, specs_matched boolean,
  is_accessory boolean, is_bundle boolean, separately_available boolean, individual_price double, price_evidence string"""
@@ -99,3 +100,13 @@ def test_pairs_find_listings_where_their_part_is(spark, tables):
             ("1-1", "red ring", "red ring", "s", 5.0)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_merging_moves_the_order_once_for_a_scalar(spark):
+    rows = spark.createDataFrame([
+        (1, "a", "", None, ["u"]), (2, "a", "t", 0.0, ["v", "u"]), (3, "a", "z", 4.0, ["w"]), (4, "b", "", None, None)],
+        "o int, listing_id string, title string, price double, source_urls array<string>").withColumn("link", F.lit(""))
+    made = L.merge_listings(rows, ["o"], ["title", "price"], ["source_urls"])
+    assert {r.identity_key: (r.o, r.title, r.price, r.source_urls) for r in made.collect()} == {
+        "a": (1, "t", 4.0, ["u", "v", "w"]), "b": (4, "", None, [])}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("min_by(") == 2
