@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from offermatch import rules as R
-from offermatch.session import stored
+from offermatch.session import dropping_shuffles, stored
 from offermatch.sinks.outputs import display_columns, project
 
 ID, FIRST, LAST = "Listing ID", "First Seen Date", "Last Seen Date"
@@ -91,7 +91,8 @@ def write_history(history: DataFrame, path: str, buckets: int = 512) -> None:
     layout = [c for c in history.columns if c != ROW]
     history_layout(layout)
     rows = history.withColumn(BUCKET, _bucket(F.col(f"`{ID}`"), buckets))
-    rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    with dropping_shuffles(history.sparkSession):
+        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
 
 
 def upsert_history(spark: SparkSession, path: str, deals: DataFrame, seen_date: str, order: list[str], run: int,
@@ -104,7 +105,8 @@ def upsert_history(spark: SparkSession, path: str, deals: DataFrame, seen_date:
     empty needs its ``schema``.
     """
     ids = display_columns(deals)[ID]
-    touched = sorted(r[0] for r in deals.select(_bucket(ids, buckets)).filter(ids != "").distinct().collect())
+    with dropping_shuffles(spark):
+        touched = sorted(r[0] for r in deals.select(_bucket(ids, buckets)).filter(ids != "").distinct().collect())
     held = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     here = held.filter(F.col(BUCKET).isin(touched) if touched else F.lit(False))
     columns = [c for c in held.columns if c not in (BUCKET, ROW)]
@@ -126,6 +128,7 @@ def upsert_history(spark: SparkSession, path: str, deals: DataFrame, seen_date:
         "_row.*", F.lit(run).cast("long").alias(ROW), _bucket(F.col("_id"), buckets).alias(BUCKET), F.lit(None).cast("boolean").alias("_again"))
     # Written once for the counts and for the table: the old files are read before any of them is replaced.
     merged = stored(kept.unionByName(fresh), "merged")
-    merged.drop("_again").repartition(BUCKET).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    with dropping_shuffles(spark):
+        merged.drop("_again").repartition(BUCKET).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
     return merged.agg(F.count_if(F.col("_again").isNull()).alias("appended"), F.count_if("_again").alias("updated"))

@@ -9,6 +9,7 @@ from offermatch.operators import audits as A, deals as D
 from offermatch.operators.pairs import likely_among
 from offermatch.plans.audit_queries import pairs
 from offermatch.session import stored
+from offermatch.sinks import history as H
 from offermatch.sources import listings as L
 
 AUDIT = """listing_id string, chunk_number int, pos int, matched_item string, confidence bigint, specs_matched boolean,
@@ -41,6 +42,14 @@ def test_stored_tables_leave_no_shuffles(spark):
     assert gone(spark, before)
 
 
+def test_history_leaves_no_shuffles(spark, tmp_path):
+    before = shuffles(spark)
+    old = spark.range(50).select(F.col("id").cast("string").alias("Listing ID"), F.lit(None).cast("date").alias("Last Seen Date"),
+                                 F.col("id").alias("row"))
+    H.write_history(old, str(tmp_path / "history"), buckets=4)
+    assert gone(spark, before)
+
+
 def test_likely_among_keeps_wanted_rows_and_drops_most_others(spark):
     rows = spark.range(5000).select(F.concat(F.lit("n"), "id").alias("a"), (F.col("id") % 7).cast("string").alias("b"))
     some = rows.filter("a < 'n2'").unionByName(rows.filter("a < 'n2'"))
